@@ -30,7 +30,7 @@ BEAM = 4
 SAMPLE = 8192
 PACK = 4096
 QUERIES = 2048
-RERANK = 128
+RERANK = 320
 
 
 def residual_codebooks(x: np.ndarray, m: int, words: int, steps: int = 8, seed: int = 7) -> np.ndarray:
