@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,24 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import cut  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table; the path goes to Spark's reader only, so any store will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder of ``spark.checkpoint.dir`` and cut its lineage.
-
-    Only where that setting is missing (single-machine tests) a temporary folder is used.
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        shared = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
-
-
 def map_batches(df: DataFrame, make: Callable[[], Callable], schema: T.StructType, rows: int = 256, finish: bool = False) -> DataFrame:
     """``mapInArrow`` over slices of ``rows`` rows.
 

@@ -25,6 +25,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from ._common import cut, map_batches, schema_of
 from ._hashing import Prefixes, U, mix
 
@@ -201,32 +202,6 @@ def checked(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return map_batches(both.select("a", "b", "text_a", "text_b"), make, schema_of("a bigint, b bigint"))
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and label (the least node of its component) of every node of an edge.
-
-    Large-star and small-star contractions in turn until a round changes nothing
-    (Kiveris et al., 2014); each round is checkpointed. A hub's edges meet only in
-    partial aggregates and in a join that Spark may split.
-    """
-    both = lambda e: e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        around = both(now)
-        least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
-        now = cut(small.distinct())
-        seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if tuple(seen) == state:
-            break
-        state = tuple(seen)
-    labels = now.groupBy("u").agg(F.min("v").alias("label"))
-    roots = now.select("v").distinct().join(labels.select(F.col("u").alias("v")), "v", "left_anti")
-    return labels.select(F.col("u").alias("node"), "label").unionByName(roots.select(F.col("v").alias("node"), F.col("v").alias("label")))
-
-
 def candidate_pairs(reps: DataFrame) -> DataFrame:
     """Distinct pairs (a: pivot, b: member) of copies that share a bucket. ``reps``: copy, bands."""
     each = reps.where(F.col("bands").isNotNull()).select("copy", F.explode("bands").alias("bucket"))
