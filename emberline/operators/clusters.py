@@ -48,12 +48,16 @@ def cluster_summary(df: DataFrame, members: DataFrame, ordinal: str = "ord") ->
     return out.withColumn("cluster_id", F.concat(F.lit("C"), F.row_number().over(Window.orderBy(F.col("size").desc(), "cluster_root"))))
 
 
-@F.pandas_udf("double")
-def name_ratio(a, b):
-    """Ratcliff-Obershelp similarity, which no expression states."""
-    from difflib import SequenceMatcher
+def name_ratio(a: str, b: str):
+    """Ratcliff-Obershelp similarity of two columns, which no expression states."""
 
-    return a.combine(b, lambda x, y: SequenceMatcher(None, x, y).ratio())
+    @F.pandas_udf("double")
+    def ratio(x, y):
+        from difflib import SequenceMatcher
+
+        return x.combine(y, lambda s, t: SequenceMatcher(None, s, t).ratio())
+
+    return ratio(a, b)
 
 
 def facility_pairs(records: DataFrame, ordinal: str = "ord") -> DataFrame:
