@@ -132,7 +132,7 @@ class Restorer:
         """Words of a token (lower case, no white space), restored where they are disguised."""
         if token.isalpha() and not STRETCHED.search(token):
             return [token]
-        token = JUNK.sub("", token)
+        token = JUNK.sub("", token).rstrip("!")
         letters = len(LETTER.findall(token))
         if letters and (STRETCHED.search(token) or 2 * letters >= len(token) - letters and DISGUISE.search(token)):
             inner = token.strip(".,;:?\"'()[]{}")
