@@ -93,18 +93,24 @@ def anchors(blobs: list[bytes], length: int = LENGTH, k: int = K) -> tuple[np.nd
 # --- suffix arrays ----------------------------------------------------------
 
 
+def eight_bytes(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as one number; zeros after the end."""
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    key = np.zeros(len(data), U)
+    for i in range(8):
+        key = (key << U(8)) | padded[i : i + len(data)].astype(U)
+    return key
+
+
 def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array up to ``depth`` bytes (then by place), and rank of each suffix's group.
+    """Suffix array up to ``depth`` bytes (then in no order), and rank of each suffix's group.
 
     Starts from groups of 8 equal bytes; group numbers are the place of a group's
     last member, as Larsson and Sadakane number them.
     """
     n = len(data)
-    padded = np.concatenate((data, np.zeros(8, np.uint8)))
-    key = np.zeros(n, U)
-    for i in range(8):
-        key = (key << U(8)) | padded[i : i + n].astype(U)
-    order = np.argsort(key, kind="stable")
+    key = eight_bytes(data)
+    order = np.argsort(key)
     sorted_key = key[order]
     new = np.ones(n, bool)
     new[1:] = sorted_key[1:] != sorted_key[:-1]
@@ -122,11 +128,12 @@ def suffix_array(data: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
         after = suffix + h
         second = np.where(after < n, group[np.minimum(after, n - 1)], -1)
         first = group[suffix]
-        by = np.lexsort((suffix, second, first))
-        suffix, first, second = suffix[by], first[by], second[by]
+        both = first * (n + 1) + second  # within 63 bits, as a shard is bounded
+        by = np.argsort(both)
+        suffix, both = suffix[by], both[by]
         order[open_] = suffix
         edge = np.ones(len(by), bool)
-        edge[1:] = (first[1:] != first[:-1]) | (second[1:] != second[:-1])
+        edge[1:] = both[1:] != both[:-1]
         tail = np.append(np.flatnonzero(edge)[1:], len(by)) - 1
         group[suffix] = open_[tail[np.cumsum(edge) - 1]]
         h *= 2
@@ -156,14 +163,20 @@ def common_prefixes(data: np.ndarray, order: np.ndarray, limit: int) -> np.ndarr
     end = np.minimum.accumulate(ends[::-1])[::-1]
     size = np.minimum(np.minimum(nxt, end) - at, limit)
     todo = np.flatnonzero((nxt >= end) & (size < limit) & (before >= 0))
+    word = eight_bytes(data)
     while len(todo):
         i, j = todo + size[todo], before[todo] + size[todo]
         inside = (i < n) & (j < n)
-        same = np.zeros(len(todo), bool)
-        same[inside] = data[i[inside]] == data[j[inside]]
-        todo = todo[same]
-        size[todo] += 1
+        todo, i, j = todo[inside], i[inside], j[inside]
+        differ = word[i] ^ word[j]
+        equal = (differ == 0).astype(np.int64)  # leading bytes in common
+        for byte in range(1, 8):
+            equal += differ < U(1 << 8 * byte)
+        room = n - np.maximum(i, j)
+        size[todo] += np.minimum(equal, room)
+        todo = todo[(equal == 8) & (room > 8)]
         todo = todo[size[todo] < limit]
+    size = np.minimum(size, limit)
     return size[order]
 
 
@@ -183,18 +196,22 @@ def shard_repeats(contexts: list[bytes], docs: np.ndarray, places: np.ndarray, l
     whole = offset + length <= sizes[owner]
     order, _ = suffix_array(data, length)
     lcp = common_prefixes(data, order, length)
-    # what runs over the end of its context is no string; the common prefix over it is the least on the way
+    # what runs over the end of its context is no string
     run = np.cumsum(lcp < length)
     keep = whole[order]
     at, run = order[keep], run[keep]
+    size = np.bincount(run)[run]
+    alone = at[size == 1]
+    at, run = at[size > 1], run[size > 1]
     doc, place = docs[owner[at]], places[owner[at]] + offset[at]
-    by = np.lexsort((place, doc, run))
+    by = np.lexsort(((doc << 32) | place, run))
     at, run, doc, place = at[by], run[by], doc[by], place[by]
     first = np.ones(len(run), bool)
     first[1:] = run[1:] != run[:-1]
     head = np.maximum.accumulate(np.where(first, np.arange(len(run)), 0))
     again = (doc != doc[head]) | (place != place[head])
-    return (doc[again], place[again]), (at[first], doc[first], place[first]), data
+    distinct = np.concatenate((at[first], alone))
+    return (doc[again], place[again]), (distinct, docs[owner[distinct]], places[owner[distinct]] + offset[distinct]), data
 
 
 def covers(doc: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -367,7 +384,8 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
             (d, p), (at, fd, fp), data = shard_repeats([r[5] for r in rows], rank, np.array([r[4] for r in rows], np.int64), length)
             d, a, b = covers(d, p, length)
             z = d * 0
-            out = [(z + DONE, z, z, z, z, ids[d], keys[d], a, b)]
+            # any key will do to deal these on
+            out = [(z + DONE, mix(ids[d].view(U)).view(np.int64), z, z, z, ids[d], keys[d], a, b)]
             if rows[0][1] >= 0:
                 pre = Prefixes(data)
                 raw = pre.raw(at, at + length)
@@ -407,15 +425,18 @@ RANGES = 64
 
 
 def _merge_shards(strings: DataFrame, length: int) -> DataFrame:
-    """Strings of all shards of a hot anchor, a range at a time: each is looked up in the merged run by binary search; all but the earliest are spans."""
+    """Strings of all shards of a hot anchor, a range at a time: each is looked up in the merged run by binary search; all but the earliest are spans. Spans pass through."""
 
     def make():
         held: list[tuple] = []
 
         def step(x):
             if x is not None:
-                held.append(tuple(np.array(x[n], np.int64) for n in ("h", "d1", "d2", "doc", "row", "a")))
-                return None
+                got = tuple(np.array(x[n], np.int64) for n in ("kind", "h", "d1", "d2", "doc", "row", "a", "b"))
+                string = got[0] == STRING
+                if string.any():
+                    held.append(tuple(v[string] for v in got[1:7]))
+                return _columns("doc row a b", tuple(v[~string] for v in got[4:]))
             if not held:
                 return None
             h, d1, d2, doc, row, a = (np.concatenate([t[i] for t in held]) for i in range(6))
@@ -446,7 +467,7 @@ def _merge_shards(strings: DataFrame, length: int) -> DataFrame:
 
 
 def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.pmod(row_key(text_col), F.lit(1 << ROW_BITS)).alias("row"), F.col(text_col).alias("text"))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.pmod(row_key(text_col), F.lit(1 << ROW_BITS)), F.lit(0)).alias("row"), F.col(text_col).alias("text"))
 
 
 def spans(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -456,11 +477,9 @@ def spans(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     settled = cut(_settle(_first_pass(rows, length, k).repartition("h"), k))
     asks = settled.where(F.col("kind") == ASK).groupBy("doc", "row").agg(F.collect_list(F.struct("h", "salt", "a", "b")).alias("asks"))
     contexts = _contexts(rows.join(asks, ["doc", "row"]).select("doc", "row", "text", "asks").dropDuplicates(["doc", "row"]))
-    found = cut(_shards(contexts.repartition("h", "salt").sortWithinPartitions("h", "salt"), length))
-    strings = found.where(F.col("kind") == STRING).select("h", "part", "d1", "d2", "doc", "row", "a")
-    merged = _merge_shards(strings.repartition("h", "part"), length)
-    span = ["doc", "row", "a", "b"]
-    return settled.where(F.col("kind") == DONE).select(span).unionByName(found.where(F.col("kind") == DONE).select(span)).unionByName(merged)
+    found = _shards(contexts.repartition("h", "salt").sortWithinPartitions("h", "salt"), length)
+    merged = _merge_shards(found.repartition("h", "part"), length)
+    return settled.where(F.col("kind") == DONE).select("doc", "row", "a", "b").unionByName(merged)
 
 
 def removals(df: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:
@@ -516,7 +535,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
         return texts.combine(found, one)
 
-    keyed = df.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_row": F.pmod(row_key(text_col), F.lit(1 << ROW_BITS))})
+    keyed = df.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_row": F.coalesce(F.pmod(row_key(text_col), F.lit(1 << ROW_BITS)), F.lit(0))})
     both = keyed.join(of_doc.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left")
     out = both.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut_out(text_col, "_spans"))).select(*df.columns)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in df.columns else out
