@@ -31,6 +31,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -231,7 +232,7 @@ def covers(doc: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[np
 
 ROW_BITS = 20
 #: Kinds of rows between the stages.
-MARK, DONE, ASK, STRING = 0, 1, 2, 3
+MARK, DONE, ASK = 0, 1, 2
 
 
 def pack_place(place, row, left, right):
@@ -259,8 +260,6 @@ def union_spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarr
 
 def _columns(names: str, *parts) -> dict:
     """Arrow columns (int64) of the concatenated parts, each a tuple of arrays in the order of ``names``."""
-    import pyarrow as pa
-
     return {n: pa.array(np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]), pa.int64()) for i, n in enumerate(names.split())}
 
 
@@ -363,7 +362,8 @@ def _contexts(asked: DataFrame) -> DataFrame:
     return map_batches(asked, make, schema)
 
 
-FOUND = "kind bigint, h bigint, part bigint, d1 bigint, d2 bigint, doc bigint, row bigint, a bigint, b bigint"
+#: Spans, and runs: the strings of one range of a hot anchor's shard, packed (two hashes, document, row, place).
+FOUND = "h bigint, part bigint, doc bigint, row bigint, a bigint, b bigint, run binary"
 
 
 def _shards(contexts: DataFrame, length: int) -> DataFrame:
@@ -372,6 +372,8 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
     def make():
         held: list[tuple] = []
         size = 0
+        spans_: list[tuple] = []
+        runs: list[tuple[int, int, bytes]] = []
 
         def flush(rows):
             doc, row = (np.array([r[i] for r in rows], np.int64) for i in (2, 3))
@@ -383,9 +385,8 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
             ids, keys = doc[by][new], row[by][new]
             (d, p), (at, fd, fp), data = shard_repeats([r[5] for r in rows], rank, np.array([r[4] for r in rows], np.int64), length)
             d, a, b = covers(d, p, length)
-            z = d * 0
             # any key will do to deal these on
-            out = [(z + DONE, mix(ids[d].view(U)).view(np.int64), z, z, z, ids[d], keys[d], a, b)]
+            spans_.append((mix(ids[d].view(U)).view(np.int64), d * 0, ids[d], keys[d], a, b))
             if rows[0][1] >= 0:
                 pre = Prefixes(data)
                 raw = pre.raw(at, at + length)
@@ -395,25 +396,28 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
                 # strings sorted by digest are cut into ranges by binary search
                 by = np.argsort(d1, kind="stable")
                 cuts = np.searchsorted(d1[by], (np.arange(1, RANGES, dtype=U)) * U((1 << 64) // RANGES))
-                part = np.zeros(len(by), np.int64)
-                part[by] = np.searchsorted(cuts, np.arange(len(by)), "right")
-                z = at * 0
-                out.append((z + STRING, z + rows[0][0], part, d1.view(np.int64), d2.view(np.int64), ids[fd], keys[fd], fp, fp + length))
-            return out
+                packed = np.stack((d1.view(np.int64), d2.view(np.int64), ids[fd], keys[fd], fp))[:, by]
+                ends = [0, *cuts.tolist(), len(by)]
+                runs.extend((rows[0][0], n, packed[:, x:y].tobytes()) for n, (x, y) in enumerate(zip(ends, ends[1:])) if x < y)
 
         def step(x):
             nonlocal size
-            parts = []
+            spans_.clear()
+            runs.clear()
             rows = list(zip(*(x[n] for n in ("h", "salt", "doc", "row", "a", "bytes")))) if x is not None else [None]
             for r in rows:
                 if held and (r is None or r[:2] != held[-1][:2] and (size >= SHARD or r[1] >= 0 or held[-1][1] >= 0)):
-                    parts += flush(held)
+                    flush(held)
                     held.clear()
                     size = 0
                 if r is not None:
                     held.append(r)
                     size += len(r[5])
-            return _columns("kind h part d1 d2 doc row a b", *parts) if parts else None
+            z = np.zeros(len(runs), np.int64)
+            heads = tuple(np.array([r[i] for r in runs], np.int64) for i in (0, 1))
+            out = _columns("h part doc row a b", *spans_, (*heads, z, z, z, z))
+            out["run"] = pa.array([None] * sum(len(t[0]) for t in spans_) + [r[2] for r in runs], pa.binary())
+            return out
 
         return step
 
@@ -432,11 +436,10 @@ def _merge_shards(strings: DataFrame, length: int) -> DataFrame:
 
         def step(x):
             if x is not None:
-                got = tuple(np.array(x[n], np.int64) for n in ("kind", "h", "d1", "d2", "doc", "row", "a", "b"))
-                string = got[0] == STRING
-                if string.any():
-                    held.append(tuple(v[string] for v in got[1:7]))
-                return _columns("doc row a b", tuple(v[~string] for v in got[4:]))
+                run = [(h, np.frombuffer(r, np.int64).reshape(5, -1)) for h, r in zip(x["h"], x["run"]) if r is not None]
+                held.extend((np.full(r.shape[1], h), *r) for h, r in run)
+                span = np.array([r is None for r in x["run"]], bool)
+                return _columns("doc row a b", tuple(np.array(x[n], np.int64)[span] for n in ("doc", "row", "a", "b")))
             if not held:
                 return None
             h, d1, d2, doc, row, a = (np.concatenate([t[i] for t in held]) for i in range(6))
