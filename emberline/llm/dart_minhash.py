@@ -224,11 +224,12 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", thres
     held = cut(sketch(rows).distinct())
     copies = held.groupBy("copy").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
     pairs = cut(candidate_pairs(copies.select("copy", "bands")))
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("copy")).distinct()
+    ends = lambda e: e.groupBy(F.col("a").alias("copy")).agg(F.count("*").alias("n")).unionByName(e.groupBy(F.col("b").alias("copy")).agg(F.count("*").alias("n")))
+    wanted = ends(pairs).select("copy").distinct()
     texts = rows.select("copy", "text").join(wanted, "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
     links = cut(checked(pairs, texts, threshold))
     named = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("copy")).groupBy("copy").agg(F.count("*").alias("n_links"))
+    degree = ends(links).groupBy("copy").agg(F.sum("n").alias("n_links"))
     each = copies.select("copy", "least").join(named.withColumnRenamed("node", "copy"), "copy", "left").withColumn("label", F.coalesce("label", "copy"))
     ids = each.groupBy("label").agg(F.min("least").alias("class_id"))
     each = each.join(ids, "label").join(degree, "copy", "left")
