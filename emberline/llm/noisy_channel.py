@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ._common import map_batches, schema_of
 
 #: Labelled documents that are sampled of each kind; the bound of what comes to the driver.
-SAMPLE = {1: 2500, 0: 5000}
+SAMPLE = {1: 1500, 0: 3000}
 # Letters that digits and signs may stand for.
 LOOKALIKE = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 DISGUISE = re.compile(r"[0134567@$!|+(€89]")
@@ -213,15 +213,21 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
     return [(r[1], r[2]) for r in sorted((tuple(r) for r in got), key=lambda r: (r[0], r[1], r[2]))]
 
 
-def weigh(docs: list[tuple[int, set[str]]], least: int = 4, strength: float = 2.0) -> dict[str, float]:
+def counted(docs) -> tuple[Counter, dict[int, Counter]]:
+    """Of (label, pieces): documents of each label, and those that hold each piece. One document is held at a time."""
+    n, have = Counter(), {0: Counter(), 1: Counter()}
+    for y, ps in docs:
+        n[y] += 1
+        have[y].update(ps)
+    return n, have
+
+
+def weigh(n: Counter, have: dict[int, Counter], least: int = 4, strength: float = 2.0) -> dict[str, float]:
     """Log ratio of the shares of toxic and other documents that hold a piece, shrunk; only clear evidence is kept."""
-    n = Counter(y for y, _ in docs)
-    have = {y: Counter(p for z, ps in docs if z == y for p in ps) for y in (0, 1)}
     out = {}
     for p, a in have[1].items():
         if a >= least:
-            b = have[0][p]
-            w = math.log((a + 0.1) / (n[1] + 1)) - math.log((b + 0.5) / (n[0] + 1))
+            w = math.log((a + 0.1) / (n[1] + 1)) - math.log((have[0].get(p, 0) + 0.5) / (n[0] + 1))
             if w > strength:
                 out[p] = w
     return out
@@ -254,14 +260,18 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len({y for y, _ in texts}) < 2:
         return model, {}, [0.0] * 5 + [-30.0]
     restore = Restorer(model)
-    held = [(y, doc_pieces(t, restore)) for y, t in texts]
-    half = Scorer(model, weigh(held[::2]), [0.0] * 6)
-    rest = texts[1::2]
+    n, have = counted((y, doc_pieces(t, restore)) for y, t in texts[::2])
+    half, rest = Scorer(model, weigh(n, have), [0.0] * 6), texts[1::2]
+    for y, t in rest:
+        n[y] += 1
+        have[y].update(doc_pieces(t, restore))
+    weights = weigh(n, have)
+    del have
     if len({y for y, _ in rest}) < 2:
-        half, rest = Scorer(model, weigh(held), [0.0] * 6), texts
+        half, rest = Scorer(model, weights, [0.0] * 6), texts
     x = np.array([half.features(t) for _, t in rest] + [half.features("")])
     y = np.array([float(y) for y, _ in rest] + [0.0])
-    return model, weigh(held), logistic(x, y)
+    return model, weights, logistic(x, y)
 
 
 def score(df: DataFrame, fitted: tuple, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
