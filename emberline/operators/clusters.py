@@ -35,11 +35,16 @@ def cluster(df: DataFrame, ordinal: str = "ord") -> DataFrame:
     return components(spacetime_pairs(df, ordinal)).select(F.col("node").alias(ordinal), F.col("label").alias("cluster_root"))
 
 
+def exact_mean(x: str):
+    """Mean that does not hang on the order of rows: sums of doubles do, and published places lie on ties of rounding."""
+    return F.sum(F.col(x).cast("decimal(18,9)")).cast("double") / F.count(x)
+
+
 def cluster_summary(df: DataFrame, members: DataFrame, ordinal: str = "ord") -> DataFrame:
     """One row per cluster, numbered by size, then least member."""
     rows = df.join(members, ordinal)
     out = rows.groupBy("cluster_root").agg(
-        F.count("*").cast("int").alias("size"), X.half_even(F.avg("latitude"), 5).alias("centroid_lat"), X.half_even(F.avg("longitude"), 5).alias("centroid_lon"),
+        F.count("*").cast("int").alias("size"), X.half_even(exact_mean("latitude"), 5).alias("centroid_lat"), X.half_even(exact_mean("longitude"), 5).alias("centroid_lon"),
         F.min("acq_date").alias("first_seen"), F.max("acq_date").alias("last_seen"), F.count_distinct("acq_date").cast("int").alias("active_days"), X.half_even(F.max("frp"), 2).alias("max_frp"),
         X.half_even(F.avg("frp"), 2).alias("mean_frp"), F.mode("instrument", True).alias("main_instrument"), F.bool_or(F.col("daynight") == "N").alias("any_night"),
         F.max_by(F.col(ordinal), F.struct("frp", -F.col(ordinal))).alias("lead_ord"), F.array_join(F.array_sort(F.collect_set("source_sensor")), "|").alias("sensors"),

@@ -102,7 +102,7 @@ def spatiotemporal_pairs(spark, d):
     return clusters.spacetime_pairs(clean(spark, d)).select("a", "b", r6("km").alias("km"))
 
 
-@query(f"""SELECT 'C' || row_number() OVER (ORDER BY size DESC, cluster_root) AS cluster_id, * FROM (SELECT cluster_root, count(*)::INT AS size, {O.he('avg(latitude)', 5)} AS centroid_lat, {O.he('avg(longitude)', 5)} AS centroid_lon, min(acq_date) AS first_seen, max(acq_date) AS last_seen, count(DISTINCT acq_date)::INT AS active_days,
+@query(f"""SELECT 'C' || row_number() OVER (ORDER BY size DESC, cluster_root) AS cluster_id, * FROM (SELECT cluster_root, count(*)::INT AS size, {O.he('sum(latitude::DECIMAL(18,9))::DOUBLE / count(latitude)', 5)} AS centroid_lat, {O.he('sum(longitude::DECIMAL(18,9))::DOUBLE / count(longitude)', 5)} AS centroid_lon, min(acq_date) AS first_seen, max(acq_date) AS last_seen, count(DISTINCT acq_date)::INT AS active_days,
  {O.he('max(frp)', 2)} AS max_frp, {O.he('avg(frp)', 2)} AS mean_frp, CASE WHEN count(*) FILTER (instrument = 'MODIS') >= count(*) FILTER (instrument = 'VIIRS') THEN 'MODIS' ELSE 'VIIRS' END AS main_instrument, bool_or(daynight = 'N') AS any_night, arg_max(ord, struct_pack(f := frp, o := -ord)) AS lead_ord,
  string_agg(DISTINCT source_sensor, '|' ORDER BY source_sensor) AS sensors FROM clean JOIN members USING (ord) GROUP BY cluster_root)""")
 def cluster_summary(spark, d):
@@ -245,9 +245,9 @@ def top_sensors(spark, d):
     return reports.top_values(clean(spark, d), "source_sensor")
 
 
-@query(f"SELECT user_id, count(*) AS detections, count(DISTINCT acq_date) AS days, min(acq_date) AS first_seen, max(acq_date) AS last_seen, {O.he('max(frp)', 4)} AS max_frp, {O.he('avg(frp)', 4)} AS mean_frp FROM clean GROUP BY user_id")
+@query(f"SELECT user_id, count(*) AS detections, count(DISTINCT acq_date) AS days, min(acq_date) AS first_seen, max(acq_date) AS last_seen, {O.he('max(frp)', 4)} AS max_frp, {O.he('sum(frp::DECIMAL(18,9))::DOUBLE / count(frp)', 4)} AS mean_frp FROM clean GROUP BY user_id")
 def site_summary(spark, d):
-    return clean(spark, d).groupBy("user_id").agg(F.count("*").alias("detections"), F.count_distinct("acq_date").alias("days"), F.min("acq_date").alias("first_seen"), F.max("acq_date").alias("last_seen"), X.half_even(F.max("frp"), 4).alias("max_frp"), X.half_even(F.avg("frp"), 4).alias("mean_frp"))
+    return clean(spark, d).groupBy("user_id").agg(F.count("*").alias("detections"), F.count_distinct("acq_date").alias("days"), F.min("acq_date").alias("first_seen"), F.max("acq_date").alias("last_seen"), X.half_even(F.max("frp"), 4).alias("max_frp"), X.half_even(clusters.exact_mean("frp"), 4).alias("mean_frp"))
 
 
 @query(f"SELECT acq_date, count(ord) AS n, {O.he('coalesce(max(frp), 0)', 6)} AS max_frp FROM (SELECT unnest(generate_series(min(acq_date), max(acq_date), INTERVAL 1 DAY))::DATE AS acq_date FROM clean) LEFT JOIN (SELECT * FROM clean WHERE user_id = 3) USING (acq_date) GROUP BY acq_date")
