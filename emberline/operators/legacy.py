@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs as X
-from .spatial import max_abs_lat, nearest
+from .spatial import nearest
 
 
 def legacy_scores(cells: DataFrame, facilities: DataFrame) -> DataFrame:
     """Label by distance and days, risk from persistence and scaled power, and its band."""
     sites = facilities.select(F.lit("all").alias("grp"), F.concat_ws(":", "source", "source_id").alias("ord"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.struct("name").alias("site"))
-    near = nearest(cells.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")), sites, max_abs_lat((cells, "latitude"), (facilities, "lat")))
+    near = nearest(cells.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")), sites)
     scene = cells.agg(F.min("frp").alias("_a"), F.max("frp").alias("_b"))
     df = cells.join(near, (cells["latitude"] == near["plat"]) & (cells["longitude"] == near["plon"]), "left").crossJoin(F.broadcast(scene))
     risk = 0.6 * F.col("persistence_norm") + 0.4 * (F.col("frp") - F.col("_a")) / F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))

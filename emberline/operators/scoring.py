@@ -15,7 +15,7 @@ def registry_distances(df: DataFrame, facilities: DataFrame) -> DataFrame:
     lat = max_abs_lat((df, "latitude"), (facilities, "lat"))
     sites = facilities.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("source").alias("grp"), F.concat_ws(":", "source", "source_id").alias("ord"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.struct("name", "ftype", "status").alias("site"))
     points = df.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
-    near = nearest(points, sites, lat).groupBy("plat", "plon").pivot("grp", list(C.SOURCES)).agg(F.first("km"))
+    near = nearest(points, sites).groupBy("plat", "plon").pivot("grp", list(C.SOURCES)).agg(F.first("km"))
     near = near.select("plat", "plon", *[F.col(s).alias(f"_d_{s}") for s in C.SOURCES])
     pairs = within(points.distinct().select(F.col("plat").alias("llat"), F.col("plon").alias("llon")), sites.select(F.col("slat").alias("rlat"), F.col("slon").alias("rlon"), "grp"), C.CORROBORATION_KM, lat)
     counts = pairs.groupBy("llat", "llon").pivot("grp", list(C.SOURCES)).count().select(F.col("llat").alias("plat"), F.col("llon").alias("plon"), *[F.col(s).alias(f"_n_{s}") for s in C.SOURCES])
@@ -36,7 +36,7 @@ def corroborate(df: DataFrame, facilities: DataFrame, groups: DataFrame | None =
     if groups is None:
         groups = facilities.select(F.concat_ws(":", "source", "source_id").alias("facility_uid"), "name", "ftype", "lat", "lon")
     sites = groups.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.lit("site").alias("grp"), F.col("facility_uid").alias("ord"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.struct("facility_uid", "name", "ftype").alias("site"))
-    near = nearest(df.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")), sites, max_abs_lat((df, "latitude"), (groups, "lat")))
+    near = nearest(df.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")), sites)
     out = df.join(near.drop("grp"), (df["latitude"] == near["plat"]) & (df["longitude"] == near["plon"]), "left").drop("plat", "plon")
     out = out.withColumns({
         "dist_to_industrial_km": F.coalesce(X.half_even("km", 3), F.lit(float("inf"))), "facility_uid": F.col("site.facility_uid"),

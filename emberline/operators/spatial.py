@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import haversine_km
 
 KM_PER_DEGREE = 111.195
-#: Cell sizes in degrees, tried from fine to coarse; the last covers the globe.
-TIERS = (0.05, 0.5, 4.0, 360.0)
+#: Cells that nearest neighbours are narrowed down by: shifts from the finest (1/64 degree) to 8, 1, 1/8 and 1/64 degrees.
+LEVELS = (9, 6, 3, 0)
+FINEST = 64
 
 
 def cell(x: str, size: float):
@@ -24,11 +25,6 @@ def around(df: DataFrame, size: float, lat: str, lon: str) -> DataFrame:
     return df.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps)).withColumns({"cy": cell(lat, size) + F.col("dy"), "cx": cell(lon, size) + F.col("dx")}).drop("dy", "dx")
 
 
-def reach_km(size: float, max_lat: float) -> float:
-    """Distance within which a cell and its neighbours surely hold every point."""
-    return size * KM_PER_DEGREE * max(0.0, math.cos(math.radians(min(89.9, max_lat + size))))
-
-
 def bucket_degrees(km: float, max_lat: float) -> float:
     return km / (KM_PER_DEGREE * max(0.01, math.cos(math.radians(min(89.0, max_lat + 1)))))
 
@@ -47,31 +43,50 @@ def within(left: DataFrame, right: DataFrame, km: float, max_lat: float) -> Data
     return met.withColumn("km", haversine_km("llat", "llon", "rlat", "rlon")).where(F.col("km") <= km).drop("cy", "cx")
 
 
-def nearest(points: DataFrame, sites: DataFrame, max_lat: float) -> DataFrame:
+def cells_of(df: DataFrame, lat: str, lon: str, prefix: str) -> DataFrame:
+    """``df`` with its cell of each level, as one number (prefix and shift); parents are shifts of their children."""
+    y, x = (F.floor(F.col(c) * FINEST).cast("int") for c in (lat, lon))
+    return df.withColumns({f"{prefix}{k}": F.shiftleft(F.shiftright(y, k).cast("long"), 32) + F.shiftright(x, k) for k in LEVELS})
+
+
+def middle(key: str, shift: int) -> tuple:
+    """Latitude and longitude of the middle of a cell."""
+    size = 2.0**shift / FINEST
+    low = F.col(key).bitwiseAND(F.lit((1 << 32) - 1))
+    x = low - F.shiftleft(F.shiftright(low, 31), 32)  # signed
+    y = F.shiftright(F.col(key) - x, 32)
+    return (y + 0.5) * size, (x + 0.5) * size
+
+
+def nearest(points: DataFrame, sites: DataFrame) -> DataFrame:
     """plat, plon, grp, km and site (struct) of the nearest site of each group to each distinct point.
 
     ``points``: plat, plon; ``sites``: grp, ord, slat, slon and site. Ties go to the
-    smaller ord. Cells of growing size are tried; a tier's answer stands if it lies
-    within the distance that the tier surely covers, and only other points go on.
+    smaller ord. Branch and bound over cells: no point of a cell lies farther from its
+    middle than a radius, so a cell of sites whose middle is farther than the nearest
+    one's by four radii cannot hold the nearest site. What is left at one level is
+    narrowed at the next; the coarsest has at most some thousand cells, whatever the data.
     """
-    from .graph import cut
-
-    places = points.select("plat", "plon").distinct().where("plat IS NOT NULL AND plon IS NOT NULL")
-    todo = places.crossJoin(F.broadcast(sites.select("grp").distinct()))  # a group for each registry: a handful
-    done = None
-    for size in TIERS:
-        last = size == TIERS[-1]
-        near = sites.withColumns({"cy": F.lit(0), "cx": F.lit(0)}) if last else around(sites, size, "slat", "slon")
-        from_ = todo.withColumns({"cy": F.lit(0), "cx": F.lit(0)} if last else {"cy": cell("plat", size), "cx": cell("plon", size)})
-        met = from_.join(near, ["grp", "cy", "cx"]).withColumn("km", haversine_km("plat", "plon", "slat", "slon"))
-        best = met.groupBy("plat", "plon", "grp").agg(F.min(F.struct("km", "ord", "site")).alias("b")).select("plat", "plon", "grp", "b.km", "b.site")
-        found = cut(best if last else best.where(F.col("km") <= reach_km(size, max_lat)))
-        done = found if done is None else done.unionByName(found)
-        if not last:
-            todo = cut(todo.join(found.select("plat", "plon", "grp"), ["plat", "plon", "grp"], "left_anti"))
-            if todo.isEmpty():
-                break
-    return done
+    places = cells_of(points.select("plat", "plon").distinct().where("plat IS NOT NULL AND plon IS NOT NULL"), "plat", "plon", "p")
+    targets = cells_of(sites, "slat", "slon", "s")
+    ours = places.select(*[f"p{k}" for k in LEVELS]).distinct()
+    theirs = targets.select("grp", *[f"s{k}" for k in LEVELS]).distinct()
+    left = None
+    for i, k in enumerate(LEVELS):
+        p = ours.select(*[f"p{j}" for j in LEVELS[max(0, i - 1) : i + 1]]).distinct()
+        s = theirs.select("grp", *[f"s{j}" for j in LEVELS[max(0, i - 1) : i + 1]]).distinct()
+        if left is None:
+            met = p.withColumn("_all", F.lit(0)).join(s.withColumn("_all", F.lit(0)), "_all")
+        else:
+            met = left.join(p, f"p{LEVELS[i - 1]}").join(s, ["grp", f"s{LEVELS[i - 1]}"])
+        (py, px), (sy, sx) = middle(f"p{k}", k), middle(f"s{k}", k)
+        met = met.select("grp", f"p{k}", f"s{k}", haversine_km(py, px, sy, sx).alias("km"))
+        # half a diagonal is 0.71 sides of a cell at most
+        slack = 4 * 0.75 * KM_PER_DEGREE * 2.0**k / FINEST
+        left = met.withColumn("least", F.min("km").over(Window.partitionBy("grp", f"p{k}"))).where(F.col("km") <= F.col("least") + slack).select("grp", f"p{k}", f"s{k}")
+    met = places.select("plat", "plon", "p0").join(left, "p0").join(targets.select("grp", "s0", "ord", "slat", "slon", "site"), ["grp", "s0"])
+    met = met.withColumn("km", haversine_km("plat", "plon", "slat", "slon"))
+    return met.groupBy("plat", "plon", "grp").agg(F.min(F.struct("km", "ord", "site")).alias("b")).select("plat", "plon", "grp", "b.km", "b.site")
 
 
 def polygon_edges(rings: list[list[list[tuple[float, float]]]]) -> list[tuple[float, float, float, float]]:

@@ -94,7 +94,7 @@ def test_nearest_is_brute_force(spark):
     rng = random.Random(1)
     points = [(rng.uniform(8, 36), rng.uniform(68, 97)) for _ in range(60)]
     sites = [("g", f"{i:03}", rng.uniform(8, 36), rng.uniform(68, 97)) for i in range(40)] + [("h", "000", 10.0, 70.0)]
-    got = spatial.nearest(spark.createDataFrame(points, "plat double, plon double"), spark.createDataFrame(sites, "grp string, ord string, slat double, slon double").withColumn("site", F.struct("ord")), 36.0).collect()
+    got = spatial.nearest(spark.createDataFrame(points, "plat double, plon double"), spark.createDataFrame(sites, "grp string, ord string, slat double, slon double").withColumn("site", F.struct("ord"))).collect()
 
     def km(a, b, c, d):
         h = math.sin(math.radians(c - a) / 2) ** 2 + math.cos(math.radians(a)) * math.cos(math.radians(c)) * math.sin(math.radians(d - b) / 2) ** 2
