@@ -35,13 +35,26 @@ def haversine_km(lat1, lon1, lat2, lon2, radius: float = C.EARTH_KM) -> Column:
     return F.lit(2 * radius) * F.asin(F.sqrt(F.least(F.lit(1.0), h)))
 
 
-def planck(wavelength_um: Column, temperature: Column) -> Column:
-    """Spectral radiance, W m-2 sr-1 um-1."""
+def planck_terms(wavelength_um: Column) -> tuple[Column, Column]:
+    """What of the radiance hangs on the wavelength only: the first radiation term and the wavelength in metres."""
     m = wavelength_um * 1e-6
-    top = 2 * C.PLANCK_H * C.LIGHT_C**2 / F.pow(m, 5)
+    return 2 * C.PLANCK_H * C.LIGHT_C**2 / F.pow(m, 5), m
+
+
+def radiance(top: Column, m: Column, temperature: Column) -> Column:
     return top / F.expm1(F.lit(C.PLANCK_H * C.LIGHT_C / C.BOLTZMANN_K) / (m * temperature)) * 1e-6
 
 
+def planck(wavelength_um: Column, temperature: Column) -> Column:
+    """Spectral radiance, W m-2 sr-1 um-1."""
+    return radiance(*planck_terms(wavelength_um), temperature)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also inside other lambdas."""
+    return F.transform(F.array(value), body)[0]
+
+
 def detection_id(lat: str = "latitude", lon: str = "longitude", day: str = "acq_date", time: str = "acq_time") -> Column:
     return F.substring(F.md5(F.concat_ws(":", F.format_string("%.5f", lat), F.format_string("%.5f", lon), F.col(day).cast("string"), F.col(time).cast("string"))), 1, 12)
 

@@ -42,10 +42,18 @@ def subpixel(df: DataFrame) -> DataFrame:
     df = df.withColumns({"_w4": wl4, "_w5": wl5})
     df = df.withColumns({"_l4": X.planck(F.col("_w4"), F.col("bt4")), "_g4": X.planck(F.col("_w4"), F.col("bg4")), "_l5": X.planck(F.col("_w5"), F.col("bt5")), "_g5": X.planck(F.col("_w5"), F.col("bg5"))})
 
+    (top4, m4), (top5, m5) = X.planck_terms(F.col("_w4")), X.planck_terms(F.col("_w5"))
+    df = df.withColumns({"_top4": top4, "_m4": m4, "_top5": top5, "_m5": m5})
+
+    def over_background(t: Column) -> Column:
+        return F.struct((X.radiance(F.col("_top4"), F.col("_m4"), t) - F.col("_g4")).alias("near"), (X.radiance(F.col("_top5"), F.col("_m5"), t) - F.col("_g5")).alias("far"))
+
+    def balance(v: Column) -> Column:
+        p = (F.col("_l4") - F.col("_g4")) / v["near"]
+        return F.when((v["near"] > 0) & (p > 0) & (p <= 1), p * v["far"] - (F.col("_l5") - F.col("_g5")))
+
     def residual(t: Column) -> Column:
-        over = X.planck(F.col("_w4"), t) - F.col("_g4")
-        p = (F.col("_l4") - F.col("_g4")) / over
-        return F.when((over > 0) & (p > 0) & (p <= 1), p * (X.planck(F.col("_w5"), t) - F.col("_g5")) - (F.col("_l5") - F.col("_g5")))
+        return X.let(over_background(t), balance)
 
     df = df.withColumn("_lo", F.greatest(F.lit(C.SOLVER_LOW_K), F.col("bt4") + 0.5))
     early = (
@@ -58,15 +66,16 @@ def subpixel(df: DataFrame) -> DataFrame:
     df = df.withColumns({"_flo": F.when(F.col("_early").isNull(), residual(F.col("_lo"))), "_fhi": F.when(F.col("_early").isNull(), residual(F.lit(C.SOLVER_HIGH_K)))})
     bracketed = F.col("_flo").isNotNull() & F.col("_fhi").isNotNull() & (F.col("_flo") * F.col("_fhi") <= 0)
 
-    def step(s: Column, _: Column) -> Column:
-        mid = (s["lo"] + s["hi"]) / 2
-        f = residual(mid)
+    def halved(s: Column, mid: Column, f: Column) -> Column:
         left = s["flo"] * f <= 0
         return F.struct(
             F.when(left, s["lo"]).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi"),
             F.when(left, s["flo"]).otherwise(f).alias("flo"), (s["ok"] & f.isNotNull()).alias("ok"),
         )
 
+    def step(s: Column, _: Column) -> Column:
+        return X.let((s["lo"] + s["hi"]) / 2, lambda mid: X.let(residual(mid), lambda f: halved(s, mid, f)))
+
     start = F.struct(F.col("_lo").alias("lo"), F.lit(C.SOLVER_HIGH_K).alias("hi"), F.col("_flo").alias("flo"), F.lit(True).alias("ok"))
     solved = F.aggregate(F.sequence(F.lit(1), F.lit(C.SOLVER_STEPS)), start, step)
     df = df.withColumn("_s", F.when(F.col("_early").isNull() & bracketed, solved))
@@ -86,7 +95,7 @@ def subpixel(df: DataFrame) -> DataFrame:
         "est_area_m2": F.when(ok, X.half_even(F.col("_p") * area, 1)), "i4_saturated": saturated,
         "retrieval_status": F.when(saturated, "saturated_lower_bound").otherwise(F.col("_status")),
     })
-    return df.withColumn("temp_class", X.temperature_class("est_temp_k")).drop("_w4", "_w5", "_l4", "_g4", "_l5", "_g5", "_lo", "_early", "_flo", "_fhi", "_s", "_t", "_over", "_p", "_status")
+    return df.withColumn("temp_class", X.temperature_class("est_temp_k")).drop("_w4", "_w5", "_top4", "_m4", "_top5", "_m5", "_l4", "_g4", "_l5", "_g5", "_lo", "_early", "_flo", "_fhi", "_s", "_t", "_over", "_p", "_status")
 
 
 def with_grid(df: DataFrame) -> DataFrame:
