@@ -9,9 +9,11 @@ coordinate is kept: coordinates of two texts agree with the probability of their
 weighted Jaccard similarity. Where a coordinate got no dart, the threshold is
 doubled. Signatures are cut into bands; texts that agree in a band share a bucket.
 
-Buckets never list their members: partial aggregates pick a few pivots of each
-bucket, every member is paired with them, and each distinct pair is checked exactly.
-Links of checked pairs are joined to classes by alternating star contractions.
+Every two texts that share a bucket are checked exactly, and once. Pairs of small
+buckets are listed. Larger buckets are dealt into blocks, and every two blocks meet in
+a group that counts links and gives one edge a linked member, so that no list of pairs
+grows with the square of a bucket. Links are joined to classes by alternating star
+contractions.
 
 Exact copies are collapsed before anything else. Words are lower-cased runs of
 letters, digits, underscores and non-ASCII characters; a text of one to four words is
@@ -34,7 +36,13 @@ SIMILARITY = 0.8
 K = 128
 ROWS = 4
 BANDS = K // ROWS
-PIVOTS = 4
+#: Members of a bucket whose pairs are listed; larger buckets are checked in blocks.
+LISTED = 8
+#: Members and bytes of text of a block, about.
+BLOCK = 1024
+BLOCK_BYTES = 8 << 20
+#: Texts that share a shingle and are counted pair by pair; more common shingles are counted by matrix products.
+RARE = 16
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -152,16 +160,17 @@ def copy_key(text_col: str) -> Column:
 
 
 def sketch(df: DataFrame) -> DataFrame:
-    """id, row, copy (key of the text) and bands of each row of (id, text)."""
+    """id, copy (key of the text), bytes and bands of each row of (id, copy, text)."""
 
     def make():
         def step(x):
             bands = [b for lo, hi in chunks(x["text"]) for b in bands_of(x["text"][lo:hi])]
-            return {"id": x["id"], "copy": x["copy"], "bands": bands}
+            return {"id": x["id"], "copy": x["copy"], "size": x["size"], "bands": bands}
 
         return step
 
-    return map_batches(df.select("id", "copy", "text"), make, schema_of("id bigint, copy bigint, bands array<bigint>"), rows=1024)
+    with_size = df.select("id", "copy", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    return map_batches(with_size, make, schema_of("id bigint, copy bigint, size bigint, bands array<bigint>"), rows=1024)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -202,34 +211,168 @@ def checked(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return map_batches(both.select("a", "b", "text_a", "text_b"), make, schema_of("a bigint, b bigint"))
 
 
-def candidate_pairs(reps: DataFrame) -> DataFrame:
-    """Distinct pairs (a: pivot, b: member) of copies that share a bucket. ``reps``: copy, bands."""
-    each = reps.where(F.col("bands").isNotNull()).select("copy", F.explode("bands").alias("bucket"))
-    full = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    each = cut(each.join(full, "bucket"))  # most buckets hold one text and end here
-    order = [F.struct(F.xxhash64("copy", F.lit(i)).alias("h"), "copy") for i in range(PIVOTS)]
-    pivots = each.groupBy("bucket").agg(*[F.min(o).alias(f"p{i}") for i, o in enumerate(order)])
-    pivots = pivots.select("bucket", F.array_distinct(F.array(*[f"p{i}.copy" for i in range(PIVOTS)])).alias("pivots"))
-    met = each.join(pivots, "bucket").select("copy", F.explode("pivots").alias("pivot")).where("copy <> pivot")
-    return met.select(F.least("copy", "pivot").alias("x"), F.greatest("copy", "pivot").alias("y"), F.col("pivot").alias("p")).groupBy("x", "y").agg(F.min("p").alias("a")).select("a", F.when(F.col("a") == F.col("x"), F.col("y")).otherwise(F.col("x")).alias("b"))
+def overlaps(texts: list[str], left: int) -> tuple[np.ndarray, np.ndarray]:
+    """Common weight of each of the first ``left`` texts with each of the others (all with all if ``left`` is their number), and weight of each text."""
+    n = len(texts)
+    owner, h, count = shingles(texts)
+    total = np.bincount(owner, count, n)
+    # the nth occurrence of a shingle is an element of its own: common weights are common elements
+    owner, h = np.repeat(owner, count), np.repeat(h, count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    with np.errstate(over="ignore"):
+        h = mix(h + nth.astype(U) * U(0x9E3779B97F4A7C15))
+    by = np.lexsort((owner, h))
+    owner, h = owner[by], h[by]
+    column = np.cumsum(np.append(True, h[1:] != h[:-1])[: len(h)]) - 1
+    held = np.bincount(column)[column] if len(column) else column
+    common = np.zeros(n * n)
+    some = (held > 1) & (held <= RARE)
+    o, c = owner[some], column[some]
+    for lag in range(1, RARE):
+        x = np.flatnonzero(c[lag:] == c[:-lag])
+        if not len(x):
+            break
+        common += np.bincount(o[x] * n + o[x + lag], minlength=n * n)
+    common = common.reshape(n, n)
+    common += common.T
+    rows, cols = slice(0, left), slice(left % n, n)
+    common = common[rows, cols]
+    o, c = owner[held > RARE], column[held > RARE]
+    kind = np.float32 if len(total) and total.max() < 1 << 24 else np.float64
+    if len(c):
+        c = np.cumsum(np.append(True, c[1:] != c[:-1])) - 1
+        for at in range(0, c[-1] + 1, 2048):
+            lo, hi = np.searchsorted(c, (at, at + 2048))
+            x = np.zeros((n, 2048), kind)
+            x[o[lo:hi], c[lo:hi] - at] = 1
+            common += x[rows] @ x[cols].T
+    return common, total
+
+
+def linked(bucket: int, copies: np.ndarray, bands: np.ndarray, wide: np.ndarray, texts: list[str], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one bucket between its first ``left`` members and the others (among all if ``left`` is their number).
+
+    Gives the linked members, one member of each one's connected set, and numbers of
+    links. Pairs that share a listed bucket (not ``wide``) or a larger one of an earlier
+    band are left to that bucket.
+    """
+    n = len(copies)
+    here = int(np.flatnonzero(bands[0] == bucket)[0])
+    rows, cols = slice(0, left), slice(left % n, n)
+    own = np.ones((left, n - left % n), bool)
+    if left == n:
+        np.fill_diagonal(own, False)
+    for k in range(bands.shape[1]):
+        same = bands[rows, k][:, None] == bands[cols, k][None, :]
+        if k >= here:
+            same &= ~wide[rows, k][:, None]
+        own &= ~same
+    used = np.zeros(n, bool)
+    used[rows] |= own.any(1)
+    used[cols] |= own.any(0)
+    if not used.any():
+        return copies[:0], copies[:0], copies[:0]
+    own = own[used[rows]][:, used[cols]]
+    copies, left = copies[used], int(used[:left].sum())
+    n = len(copies)
+    common, total = overlaps([t for t, u in zip(texts, used) if u], left)
+    cols = slice(left % n, n)
+    most = total[:left, None] + total[None, cols] - common
+    ok = own & (common / np.maximum(most, 1) >= threshold)
+    degree = np.zeros(n, np.int64)
+    degree[:left] += ok.sum(1)
+    if left < n:
+        degree[left:] += ok.sum(0)
+    root = np.full(n, -1)
+    for r in np.flatnonzero(degree):
+        if root[r] >= 0:
+            continue
+        new = np.zeros(n, bool)
+        new[r] = True
+        while new.any():
+            root[new] = r
+            near = np.zeros(n, bool)
+            near[cols] |= ok[new[:left]].any(0)
+            if left < n:
+                near[:left] |= ok[:, new[left:]].any(1)
+            new = near & (root < 0)
+    some = np.flatnonzero(degree)
+    return copies[some], copies[root[some]], degree[some]
+
+
+def buckets(reps: DataFrame) -> DataFrame:
+    """copy, bucket, and members (n) and bytes (size) of the bucket, of each bucket of several copies. ``reps``: copy, size, bands."""
+    each = reps.where(F.col("bands").isNotNull()).select("copy", "size", F.explode("bands").alias("bucket"))
+    full = each.groupBy("bucket").agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).where("n > 1")
+    return each.drop("size").join(full, "bucket")  # most buckets hold one text and end here
+
+
+def listed_pairs(each: DataFrame) -> DataFrame:
+    """Distinct pairs (a, b) of copies that share a bucket of at most ``LISTED``. ``each``: :func:`buckets`."""
+    few = each.where(F.col("n") <= LISTED).groupBy("bucket").agg(F.sort_array(F.collect_list("copy")).alias("m"))
+    firsts = few.select("m", F.posexplode("m").alias("i", "a"))
+    return firsts.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")).distinct()
+
+
+def links_in_blocks(each: DataFrame, copies: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Links in buckets of more than ``LISTED`` that no listed pair gives: a (copy), b (another of its connected set), n (links of a)."""
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    wide = cut(each.where(F.col("n") > LISTED).groupBy("copy").agg(F.collect_list(F.struct("bucket", blocks.alias("blocks"))).alias("wide")))
+    texts = rows.select("copy", "text").join(wide.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
+    met = wide.join(copies.select("copy", "bands"), "copy").join(texts, "copy")
+    met = met.select("copy", "bands", F.transform("bands", lambda b: F.array_contains("wide.bucket", b)).alias("wide"), "text", F.explode("wide").alias("w"))
+    met = met.select("copy", "bands", "wide", "text", "w.bucket", "w.blocks", F.pmod(F.xxhash64("copy", "w.bucket"), "w.blocks").cast("int").alias("block"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "copy", "bands", "wide", "text"
+    )
+    schema = schema_of("a bigint, b bigint, n bigint")
+
+    def make():
+        held: list[tuple] = []
+
+        def flush(out):
+            bucket, i, j = held[0][:3]
+            held.sort(key=lambda r: (r[3], r[4]))
+            left = sum(r[3] == i for r in held)
+            if len(held) > 1 and (i == j or 0 < left < len(held)):
+                got = linked(bucket, np.array([r[4] for r in held], np.int64), np.array([r[5] for r in held], np.int64), np.array([r[6] for r in held], bool), [r[7] or "" for r in held], left, threshold)
+                for name, v in zip(schema.names, got):
+                    out[name].extend(v.tolist())
+            held.clear()
+
+        def step(x):
+            out: dict = {n: [] for n in schema.names}
+            for r in zip(*(x[n] for n in ("bucket", "i", "j", "block", "copy", "bands", "wide", "text"))) if x is not None else ():
+                if held and r[:3] != held[0][:3]:
+                    flush(out)
+                held.append(r)
+            if x is None and held:
+                flush(out)
+            return out
+
+        return step
+
+    return map_batches(met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), make, schema, finish=True)
 
 
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """One row per distinct (id, text): id, class_id (the least id of its class), copy (key of the text) and n_links.
 
-    n_links: links found between the text's copies as one and other texts. Rows of a
+    n_links: other texts (copies as one) at least ``threshold`` alike that share a bucket. Rows of a
     null id are classed too; a class of null ids only has a null class_id.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), copy_key(text_col).alias("copy"), F.col(text_col).alias("text"))
     held = cut(sketch(rows).distinct())
-    copies = held.groupBy("copy").agg(F.min("id").alias("least"), F.first("bands").alias("bands"))
-    pairs = cut(candidate_pairs(copies.select("copy", "bands")))
+    copies = held.groupBy("copy").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    members = cut(buckets(copies))
+    pairs = cut(listed_pairs(members))
     ends = lambda e: e.groupBy(F.col("a").alias("copy")).agg(F.count("*").alias("n")).unionByName(e.groupBy(F.col("b").alias("copy")).agg(F.count("*").alias("n")))
     wanted = ends(pairs).select("copy").distinct()
     texts = rows.select("copy", "text").join(wanted, "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
     links = cut(checked(pairs, texts, threshold))
-    named = components(links)
-    degree = ends(links).groupBy("copy").agg(F.sum("n").alias("n_links"))
+    in_blocks = cut(links_in_blocks(members, copies, rows, threshold))
+    named = components(links.unionByName(in_blocks.select("a", "b")))
+    degree = ends(links).unionByName(in_blocks.select(F.col("a").alias("copy"), "n")).groupBy("copy").agg(F.sum("n").alias("n_links"))
     each = copies.select("copy", "least").join(named.withColumnRenamed("node", "copy"), "copy", "left").withColumn("label", F.coalesce("label", "copy"))
     ids = each.groupBy("label").agg(F.min("least").alias("class_id"))
     each = each.join(ids, "label").join(degree, "copy", "left")

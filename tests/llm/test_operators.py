@@ -120,6 +120,32 @@ def test_classes_are_those_of_all_pairs(spark):
     assert kept == sorted(set(want.values()))
 
 
+@pytest.mark.parametrize("block", [1024, 16])
+def test_all_links_of_large_groups_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(DM, "BLOCK", block)
+    rng = random.Random(11)
+    words = lambda n: " ".join(f"u{rng.randrange(10**9)}" for _ in range(n))
+    passage, rows = words(140), []
+    for i in range(40):  # about 0.6 alike to one another, with near copies among them
+        own = words(40)
+        rows += [(10 * i, f"{passage} {own}")] + [(10 * i + 1, f"{passage} {own} end")] * (i % 2)
+    base = words(150).split()
+    for i in range(60):  # all alike
+        other = list(base)
+        other[rng.randrange(150)] = f"edit{i}"
+        rows.append((5000 + i, " ".join(other)))
+    o, h, c = DM.shingles([t for _, t in rows])
+    at = np.searchsorted(o, np.arange(len(rows) + 1))
+    sets = [(h[a:b], c[a:b]) for a, b in zip(at[:-1], at[1:])]
+    alike = np.array([[i != j and DM.similarity(x, y) >= 0.8 for j, y in enumerate(sets)] for i, x in enumerate(sets)])
+    label = list(range(len(rows)))
+    for i, j in zip(*np.nonzero(alike)):
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label]
+    want = {r[0]: (rows[label[i]][0], int(alike[i].sum())) for i, r in enumerate(rows)}
+    assert {r.doc_id: (r.class_id, r.n_links) for r in DM.classes(docs(spark, rows)).collect()} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     o = np.repeat([0, 1], 200)
     e = np.concatenate((np.arange(200), np.arange(100, 300))).astype(np.uint64)
