@@ -5,9 +5,12 @@ codebooks. Codebooks are started on residuals, and then all fitted together by l
 squares on a bounded, documented sample. Encoding is a beam search over the residual
 codebooks. Every row is encoded; its norm and that of its decoded sum are stored and
 correct the length that quantisation loses. Queries, in blocks of bounded size, meet
-packs of encoded vectors: table look-ups give approximate inner products, the best
-``rerank`` rows of each pack are reranked by exact double-precision products on the
-original vectors, and the packs' lists are merged.
+packs of encoded vectors: table look-ups give approximate inner products, and the best
+``rerank`` vectors of each pack are reranked by exact double-precision products on the
+original vectors. Their worst score that still counts is the cut: what quantisation
+left of each vector bounds the error of its look-up, and every vector that may reach
+the cut within that bound is reranked too, ties and near copies with them. Copies in a
+pack are one vector with a list of ids. The packs' lists are merged.
 
 Vectors that are null, empty or zero, of another dimension than most sampled ones,
 or hold null or non-finite components take no part. A null id takes no part. Ties go
@@ -102,21 +105,49 @@ def look_up(queries: np.ndarray, codes: np.ndarray, books: np.ndarray, scale: np
     return total * scale.astype(np.float32)
 
 
-def best_of(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, scale: np.ndarray, top: int, rerank: int):
-    """Of one block of queries in one pack: query number, id and exact score of the ``top`` best by rerank."""
+def best_of(qid: np.ndarray, q: np.ndarray, ids: np.ndarray, sizes: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, scale: np.ndarray, error: np.ndarray, top: int, rerank: int):
+    """Of one block of queries in one pack: query number, id and exact score of the ``top`` best.
+
+    ``x``: distinct vectors, whose ``sizes`` say how many of the sorted ``ids`` each has.
+    ``error``: length of what the codes leave of each vector.
+    """
     out = []
-    width = min(len(ids), max(rerank, top + 1))
+    starts = np.cumsum(sizes) - sizes
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    # a query's own rows are at most so many of one vector's
+    new = np.flatnonzero(np.append(True, (ids[1:] != ids[:-1]) | (owner[1:] != owner[:-1])))
+    most = np.minimum(sizes, top + np.diff(np.append(new, len(ids))).max())
+    ends = ids[starts], ids[starts + sizes - 1]
+    width = min(len(x), max(rerank, top + 1))
+    # the look-ups add single-precision products
+    slip = 1e-5 * scale.max() * np.sqrt((books**2).sum(2).max(1)).sum()
     for at in range(0, len(q), 256):
-        part = q[at : at + 256]
+        part, own_id = q[at : at + 256], qid[at : at + 256]
         rough = look_up(part, codes, books, scale)
         near = np.argpartition(-rough, width - 1, axis=1)[:, :width]
         exact = np.einsum("qd,qwd->qw", part, x[near])
-        own = ids[near] == qid[at : at + 256, None]
-        exact[own] = -np.inf
-        by = np.lexsort((ids[near], -exact), axis=1)[:, :top]
-        rows = np.arange(len(part))[:, None]
-        ok = ~own[rows, by]
-        out.append((np.broadcast_to(rows + at, by.shape)[ok], ids[near][rows, by][ok], exact[rows, by][ok]))
+        # vectors that only the query's own id has do not count for the cut
+        exact[(ends[0][near] == own_id[:, None]) & (ends[1][near] == own_id[:, None])] = -np.inf
+        length = np.linalg.norm(part, axis=1)
+        low = np.partition(exact, width - top, axis=1)[:, width - top] if width >= top else np.full(len(part), -np.inf)
+        low -= 1e-9 * (length * np.linalg.norm(x, axis=1).max() + np.abs(low, where=np.isfinite(low), out=np.zeros(len(low))))
+        may = ~(rough + length[:, None] * (error + slip) < low[:, None])
+        if may.mean() > 1 / 16:
+            may &= ~(part @ x.T < low[:, None])
+        for lo in range(0, len(part), 16):
+            i, r = np.nonzero(may[lo : lo + 16])
+            i += lo
+            # equal vectors of different packs get equal scores, whatever is scored with them
+            score = np.concatenate([np.einsum("nd,nd->n", part[i[k : k + 32768]], x[r[k : k + 32768]]) for k in range(0, max(1, len(i)), 32768)])
+            n = most[r]
+            row = np.repeat(starts[r] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            i, score, found = np.repeat(i, n), np.repeat(score, n), ids[row]
+            ok = found != own_id[i]
+            i, score, found = i[ok], score[ok], found[ok]
+            by = np.lexsort((found, -score, i))
+            i, score, found = i[by], score[by], found[by]
+            first = np.arange(len(i)) - np.searchsorted(i, i) < top
+            out.append((i[first] + at, found[first], score[first]))
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
@@ -128,8 +159,8 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def index(df: DataFrame, books: np.ndarray, pack: int = PACK) -> DataFrame:
-    """Packs of at most ``pack`` encoded vectors: ids, vectors, codes and scales as binaries. Other dimensions are left out."""
-    schema = schema_of("pack string, ids binary, vectors binary, codes binary, scales binary")
+    """Packs of at most ``pack`` rows: ids by vector, and distinct vectors, their sizes, codes, scales and errors, as binaries. Other dimensions are left out."""
+    schema = schema_of("pack string, ids binary, sizes binary, vectors binary, codes binary, scales binary, errors binary")
     dim = books.shape[2]
 
     def make():
@@ -138,10 +169,14 @@ def index(df: DataFrame, books: np.ndarray, pack: int = PACK) -> DataFrame:
             if not rows:
                 return None
             ids, v = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
+            v, of, sizes = np.unique(v, axis=0, return_inverse=True, return_counts=True)
+            ids = ids[np.lexsort((ids, of.reshape(-1)))]
             codes = encode(v, books)
             sums = decode(codes, books)
-            scales = np.linalg.norm(v, axis=1) / np.maximum(np.linalg.norm(sums, axis=1), 1e-12)
-            return {"pack": [None], "ids": [ids.tobytes()], "vectors": [v.tobytes()], "codes": [codes.tobytes()], "scales": [np.clip(scales, 0.5, 2.0).tobytes()]}
+            scales = np.clip(np.linalg.norm(v, axis=1) / np.maximum(np.linalg.norm(sums, axis=1), 1e-12), 0.5, 2.0)
+            errors = np.linalg.norm(v - sums * scales[:, None], axis=1)
+            parts = {"ids": ids, "sizes": sizes.astype(np.int64), "vectors": v, "codes": codes, "scales": scales, "errors": errors}
+            return {"pack": [None]} | {n: [p.tobytes()] for n, p in parts.items()}
 
         return step
 
@@ -190,10 +225,10 @@ def search(df: DataFrame, is_query: Column, id_col: str = "vec_id", vec_col: str
     def make():
         def step(x):
             parts = []
-            for ids, v, codes, scales, qids, qs in zip(*(x[n] for n in ("ids", "vectors", "codes", "scales", "qids", "qs"))):
+            for ids, sizes, v, codes, scales, errors, qids, qs in zip(*(x[n] for n in ("ids", "sizes", "vectors", "codes", "scales", "errors", "qids", "qs"))):
                 ids, v, codes = np.frombuffer(ids, np.int64), np.frombuffer(v).reshape(-1, dim), np.frombuffer(codes, np.uint8).reshape(-1, len(books))
                 qid = np.frombuffer(qids, np.int64)
-                n, i, s = best_of(qid, np.frombuffer(qs).reshape(-1, dim), ids, v, codes, books, np.frombuffer(scales), top, rerank)
+                n, i, s = best_of(qid, np.frombuffer(qs).reshape(-1, dim), ids, np.frombuffer(sizes, np.int64), v, codes, books, np.frombuffer(scales), np.frombuffer(errors), top, rerank)
                 parts.append((qid[n], n, i, s))
             return {"query_id": np.concatenate([p[0] for p in parts]).tolist(), "n": np.concatenate([p[1] for p in parts]).tolist(), "vec_id": np.concatenate([p[2] for p in parts]).tolist(), "score": np.concatenate([p[3] for p in parts]).tolist(), "block": [b for b, p in zip(x["block"], parts) for _ in p[0]]}
 

@@ -281,6 +281,23 @@ def test_search_recall_and_odd_vectors(spark):
     assert AQ.search(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_search_is_exact_among_copies(spark):
+    rng = np.random.default_rng(5)
+    one, near = rng.normal(size=16), rng.normal(size=16)
+    vecs = np.concatenate((np.tile(one, (1400, 1)), near + 1e-3 * rng.normal(size=(1400, 16)), rng.normal(size=(1200, 16)))).astype(np.float32)
+    ids = rng.permutation(len(vecs))
+    df = spark.createDataFrame([(int(i), [float(x) for x in v]) for i, v in zip(ids, vecs)], "vec_id long, embedding array<float>").coalesce(1)
+    got = {}
+    for r in AQ.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r.rank] = r.vec_id
+    d = vecs[np.argsort(ids)].astype(np.float64)
+    assert set(got) == set(range(0, len(vecs), 20))
+    for q, found in got.items():
+        s = np.einsum("nd,nd->n", d, np.broadcast_to(d[q], d.shape))
+        s[q] = -np.inf
+        assert [found[k] for k in range(1, 21)] == np.lexsort((np.arange(len(s)), -s))[:20].tolist()
+
+
 # --- op1 ---------------------------------------------------------------------
 
 
