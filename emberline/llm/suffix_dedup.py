@@ -323,6 +323,10 @@ def _settle(marks: DataFrame, k: int) -> DataFrame:
             place, row, left, right = unpack_place(p)
             by = np.lexsort((place, row, doc, c, h))
             h, c, doc, place, row, left, right = (v[by] for v in (h, c, doc, place, row, left, right))
+            # a row that lies in several pieces of the scan gives its marks in each
+            other = np.ones(len(h), bool)
+            other[1:] = np.any([v[1:] != v[:-1] for v in (h, c, doc, row, place)], axis=0)
+            h, c, doc, place, row, left, right = (v[other] for v in (h, c, doc, place, row, left, right))
             new_h = np.ones(len(h), bool)
             new_h[1:] = h[1:] != h[:-1]
             new = new_h.copy()

@@ -77,6 +77,16 @@ def test_repeats_are_those_of_brute_force(spark, monkeypatch, hot, shard):
     assert got == removed(rows)
 
 
+def test_a_repeated_row_is_one_document_wherever_it_lies(spark):
+    one, other = (1, prose(120)), (2, prose(120))
+    rows = [one, other, (3, one[1][50:] + prose(20))]
+    apart = docs(spark, [one, other]).unionByName(docs(spark, [one, rows[2]]))
+    got = [(r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in SD.digests(apart).collect()]
+    want = removed(rows)
+    assert sorted(got) == sorted((i, want[i]) for i in (1, 1, 2, 3))
+    assert want[1][1] == 0 < want[3][1]
+
+
 def test_suffix_array_and_common_prefixes():
     for _ in range(30):
         n = RNG.randrange(1, 300)
