@@ -5,8 +5,7 @@ line weighs the length of its text; lines of menus, headers, footers, sidebars,
 notices, adverts, forms and comments weigh nothing, and where the page names an
 article, neither do lines outside it. Weights are summed over a sliding window of
 lines: where the sum rises above the threshold is a surge, where it falls to
-nothing a dive, and the weighty lines between them are the text. Without a named
-article only the weightiest stretch is taken.
+nothing a dive, and the weighty lines between each surge and its dive are the text.
 
 Character references are decoded, white space inside a block becomes one space, and
 blocks are joined by a line feed. Null or empty pages, and pages without text, give
@@ -153,10 +152,7 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     found = lines(page or "")
     named = any(m and not dull for _, dull, m in found)
     weights = [0 if dull or named and not m else len(t) for t, dull, m in found]
-    stretches = between(weights, window, threshold)
-    if stretches and not named:
-        stretches = [max(stretches, key=lambda s: (sum(weights[s[0] : s[1]]), -s[0]))]
-    return "\n".join(found[i][0] for a, b in stretches for i in range(a, b) if weights[i])
+    return "\n".join(found[i][0] for a, b in between(weights, window, threshold) for i in range(a, b) if weights[i])
 
 
 def extract(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

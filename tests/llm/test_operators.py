@@ -267,6 +267,12 @@ def test_main_text(page, text):
     assert line_block.main_text(page) == text
 
 
+def test_text_around_boilerplate_without_an_article():
+    advert = "<div class=ad><p>Buy</p><p>this</p><p>now</p><p>here</p></div>"
+    page = f"<nav><p>Home</p></nav><div><p>First block.</p>{advert}<p>The longest block of this text.</p><p>More.</p>{advert}<p>Last block.</p></div><footer>f</footer>"
+    assert line_block.main_text(page) == "First block.\nThe longest block of this text.\nMore.\nLast block."
+
+
 # --- op4 ---------------------------------------------------------------------
 
 
