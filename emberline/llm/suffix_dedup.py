@@ -230,17 +230,16 @@ def covers(doc: np.ndarray, place: np.ndarray, length: int = LENGTH) -> tuple[np
 
 # --- the plan ------------------------------------------------------------------
 
-ROW_BITS = 20
 #: Kinds of rows between the stages.
 MARK, DONE, ASK = 0, 1, 2
 
 
-def pack_place(place, row, left, right):
-    return (place << 32) | (row << 12) | (left << 6) | right
+def pack_place(place, left, right):
+    return (place << 12) | (left << 6) | right
 
 
 def unpack_place(p):
-    return p >> 32, (p >> 12) & (1 << ROW_BITS) - 1, (p >> 6) & 63, p & 63
+    return p >> 12, (p >> 6) & 63, p & 63
 
 
 def union_spans(doc: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -263,7 +262,7 @@ def _columns(names: str, *parts) -> dict:
     return {n: pa.array(np.concatenate([np.zeros(0, np.int64), *[p[i] for p in parts]]), pa.int64()) for i, n in enumerate(names.split())}
 
 
-MARKS = "kind bigint, h bigint, c bigint, doc bigint, p bigint"
+MARKS = "kind bigint, h bigint, c bigint, doc bigint, row bigint, p bigint"
 
 
 def _first_pass(rows: DataFrame, length: int, k: int) -> DataFrame:
@@ -288,12 +287,12 @@ def _first_pass(rows: DataFrame, length: int, k: int) -> DataFrame:
                 new = np.ones(len(h), bool)
                 new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
                 d = doc[new]
-                parts.append((np.full(len(d), MARK), h[new].view(np.int64), c[new].view(np.int64), ids[d], pack_place(place[new], keys[d], left[new], right[new])))
+                parts.append((np.full(len(d), MARK), h[new].view(np.int64), c[new].view(np.int64), ids[d], keys[d], pack_place(place[new], left[new], right[new])))
                 d, a, b = union_spans(doc[~new], (place - left)[~new], (place + k + right)[~new])
                 # any key will do to deal these rows: they only pass through
-                parts.append((np.full(len(d), DONE), mix(ids[d].view(U)).view(np.int64), (a << 32) | b, ids[d], pack_place(a * 0, keys[d], 0, 0)))
+                parts.append((np.full(len(d), DONE), mix(ids[d].view(U)).view(np.int64), (a << 32) | b, ids[d], keys[d], a * 0))
                 lo = hi
-            return _columns("kind h c doc p", *parts)
+            return _columns("kind h c doc row p", *parts)
 
         return step
 
@@ -311,16 +310,16 @@ def _settle(marks: DataFrame, k: int) -> DataFrame:
 
         def step(x):
             if x is not None:
-                held.append(tuple(np.array(x[n], np.int64) for n in ("kind", "h", "c", "doc", "p")))
+                held.append(tuple(np.array(x[n], np.int64) for n in ("kind", "h", "c", "doc", "row", "p")))
                 return None
             if not held:
                 return None
-            kind, h, c, doc, p = (np.concatenate([t[i] for t in held]) for i in range(5))
+            kind, h, c, doc, row, p = (np.concatenate([t[i] for t in held]) for i in range(6))
             held.clear()
             done = kind == DONE
-            out = [(kind[done], h[done], doc[done] * 0, doc[done], unpack_place(p[done])[1], c[done] >> 32, c[done] & 0xFFFFFFFF)]
-            h, c, doc, p = h[~done], c[~done], doc[~done], p[~done]
-            place, row, left, right = unpack_place(p)
+            out = [(kind[done], h[done], doc[done] * 0, doc[done], row[done], c[done] >> 32, c[done] & 0xFFFFFFFF)]
+            h, c, doc, row, p = h[~done], c[~done], doc[~done], row[~done], p[~done]
+            place, left, right = unpack_place(p)
             by = np.lexsort((place, row, doc, c, h))
             h, c, doc, place, row, left, right = (v[by] for v in (h, c, doc, place, row, left, right))
             # a row that lies in several pieces of the scan gives its marks in each
@@ -474,7 +473,7 @@ def _merge_shards(strings: DataFrame, length: int) -> DataFrame:
 
 
 def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), F.coalesce(F.pmod(row_key(text_col), F.lit(1 << ROW_BITS)), F.lit(0)).alias("row"), F.col(text_col).alias("text"))
+    return df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc"), row_key(text_col).alias("row"), F.col(text_col).alias("text"))
 
 
 def spans(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
@@ -542,7 +541,7 @@ def remove(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length
 
         return texts.combine(found, one)
 
-    keyed = df.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_row": F.coalesce(F.pmod(row_key(text_col), F.lit(1 << ROW_BITS)), F.lit(0))})
+    keyed = df.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), "_row": row_key(text_col)})
     both = keyed.join(of_doc.withColumnsRenamed({"doc": "_doc", "row": "_row"}), ["_doc", "_row"], "left")
     out = both.withColumn(text_col, F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(cut_out(text_col, "_spans"))).select(*df.columns)
     return out.withColumn("n_chars", F.length(text_col).cast("long")) if "n_chars" in df.columns else out

@@ -87,6 +87,18 @@ def test_a_repeated_row_is_one_document_wherever_it_lies(spark):
     assert want[1][1] == 0 < want[3][1]
 
 
+def test_unlike_texts_without_ids_are_told_apart(spark):
+    texts = spark.range(6000).select(F.concat(F.sha2(F.col("id").cast("string"), 512), F.sha2((-F.col("id")).cast("string"), 512)).alias("text"))
+    alike = texts.groupBy(F.pmod(F.xxhash64("text"), F.lit(1 << 20))).agg(F.sort_array(F.collect_list("text")).alias("t")).where("size(t) > 1").orderBy("t")
+    a, b = alike.first().t[:2]  # the low bits of their keys agree
+    for again, clean in ((a, b), (b, a)):
+        df = docs(spark, [(None, a), (None, b), (5, again)])
+        got = {(r.doc_id, r.kept_sha256): r.n_removed for r in SD.digests(df).collect()}
+        sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+        assert got == {(5, sha(again)): 0, (None, sha(clean)): 0, (None, sha("")): len(again)}
+        assert sorted((r.doc_id or 0, r.text) for r in SD.remove(df).collect()) == sorted([(5, again), (0, clean), (0, "")])
+
+
 def test_suffix_array_and_common_prefixes():
     for _ in range(30):
         n = RNG.randrange(1, 300)
