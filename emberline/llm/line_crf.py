@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import map_batches, schema_of
+from ._common import cut, map_batches, schema_of
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -168,7 +168,8 @@ class LineCrf:
 def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = SAMPLE_DOCS) -> list[tuple[list, int]]:
     """Line features of at most ``limit`` labelled documents, those with the smallest hashes of their ids.
 
-    Line features are made on the executors; at most SAMPLE_LINES lines of a document come to the driver.
+    Line features are made on the executors. Documents are split into pieces of SAMPLE_LINES
+    lines; the ``limit`` pieces with the smallest hashes of their ids and places come to the driver.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = chosen.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
@@ -176,13 +177,20 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def make():
         def step(x):
-            feats = [read(t)[0] for t in x["text"]]
-            return {"id": x["id"], "y": x["y"], "feats": [[list(f) for f in fs[:SAMPLE_LINES]] for fs in feats]}
+            out: dict = {"id": [], "y": [], "at": [], "feats": []}
+            for i, y, t in zip(x["id"], x["y"], x["text"]):
+                feats = read(t)[0]
+                for at in range(0, len(feats), SAMPLE_LINES):
+                    for n, v in zip(out, (i, y, at, [list(f) for f in feats[at : at + SAMPLE_LINES]])):
+                        out[n].append(v)
+            return out
 
         return step
 
-    got = map_batches(rows, make, schema_of("id bigint, y int, feats array<array<int>>")).collect()
-    return [([tuple(f) for f in r["feats"]], r["y"]) for r in sorted(got, key=lambda r: (r["id"], r["y"], r["feats"])) if r["feats"]]
+    pieces = cut(map_batches(rows, make, schema_of("id bigint, y int, at bigint, feats array<array<int>>")).withColumn("hash", F.xxhash64("id", "at", "feats")))
+    last = pieces.select("hash").orderBy("hash").limit(limit).agg(F.max("hash")).first()[0]
+    got = pieces.where(F.col("hash") <= F.lit(last)).collect()
+    return [([tuple(f) for f in r["feats"]], r["y"]) for r in sorted(got, key=lambda r: (r["id"], r["y"], r["at"], r["feats"]))]
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> LineCrf:

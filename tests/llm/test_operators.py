@@ -209,6 +209,15 @@ def test_quality_base_counts(spark):
     assert got[2].n_dup_lines == 1 and got[3].n_symbols == 12 and got[0].kept and not got[5].kept
 
 
+def test_crf_learns_from_all_lines(spark):
+    text = "\n".join([f"line {i} of the text" for i in range(450)] + ["click here | login"] * 50)
+    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
+    df = docs(spark, [(1, text), (2, "short"), (3, text)])
+    got = line_crf.sample(df, labels)
+    assert [len(f) for f, _ in got] == [200, 200, 100, 1] and sum((f for f, _ in got[:3]), []) == list(map(tuple, line_crf.read(text)[0]))
+    assert len(line_crf.sample(df, labels, limit=2)) == 2
+
+
 def test_crf_learns_and_viterbi_is_best():
     rng = np.random.default_rng(3)
     docs_ = [([tuple(int(rng.integers(s)) if k else y for k, s in enumerate(line_crf.SIZES)) for _ in range(6)], y) for y in (0, 1) * 40]
