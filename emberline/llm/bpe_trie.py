@@ -21,6 +21,7 @@ import hashlib
 import json
 import struct
 import unicodedata
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -245,12 +246,32 @@ class WordBpe:
         return " ".join(self.names[i] for i in ids)
 
 
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordBpe:
+    """One encoder a worker process: tasks that follow one another there share what it has learnt."""
+    return WordBpe(path)
+
+
+def count_tokens(df: DataFrame, path: str) -> DataFrame:
+    """id, key and n (number of tokens) of each row of (id, key, text)."""
+
+    def make():
+        bpe = encoder(path)
+
+        def step(x):
+            return {"id": x["id"], "key": x["key"], "n": [sum([q[1] for q in p]) for p in bpe.pieces([t or "" for t in x["text"]])]}
+
+        return step
+
+    return map_batches(df.select("id", "key", "text"), make, schema_of("id bigint, key string, n bigint"))
+
+
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: ``id_col``, ids array<int>, decoded string."""
     schema = schema_of(f"{id_col} bigint, ids array<int>, decoded string")
 
     def make():
-        bpe = WordBpe(path)
+        bpe = encoder(path)
 
         def step(x):
             pieces = bpe.pieces([t or "" for t in x["text"]])
@@ -270,7 +291,7 @@ def digest_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     schema = schema_of(f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
     def make():
-        bpe, sha = WordBpe(path), hashlib.sha256
+        bpe, sha = encoder(path), hashlib.sha256
 
         def step(x):
             n, a, b = [], [], []

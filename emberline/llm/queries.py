@@ -22,7 +22,9 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:

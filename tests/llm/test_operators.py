@@ -234,24 +234,94 @@ def test_crf_learns_and_viterbi_is_best():
 # --- op3 ---------------------------------------------------------------------
 
 
-def test_packing_places_every_token_once(spark):
+def blanks():
+    return F.coalesce(F.regexp_count("text", F.lit(r"\S+")), F.lit(0))
+
+
+def bins_of(rows):
+    out = {}
+    for r in rows:
+        if r.bin_id is not None:
+            out.setdefault(r.bin_id, []).append(r)
+    return out
+
+
+@pytest.mark.parametrize("window", [100_000, 40])
+def test_packing_places_every_token_once(spark, window):
     rows = [(i, " ".join(["w"] * RNG.choice((0, 1, 5, 300, 700, 4096, 9000)))) for i in range(200)] + ODD
-    got = packing.pack_documents(docs(spark, rows)).collect()
-    assert sum(r.n_tokens for r in got) == sum(len((t or "").split()) for _, t in rows if t is None or "\x00" not in t) + 3
-    bins = {}
+    df = docs(spark, rows).withColumn("key", F.lit("clash"))
+    got = packing.pack_documents(df, tokens=blanks(), window=window).collect()
+    sizes = {}
     for r in got:
-        if r.bin_id is not None:
-            bins.setdefault(r.bin_id, []).append(r)
-    for rs in bins.values():
+        sizes.setdefault(r.doc_id, []).append(r)
+    for i, rs in sizes.items():
+        texts = [t or "" for j, t in rows if j == i]
+        assert sum(r.n_tokens for r in rs) == sum(len(__import__("re").findall(r"\S+", t)) for t in texts)
+        if len(texts) == 1:
+            rs.sort(key=lambda r: r.piece)
+            assert [(r.piece, r.doc_offset) for r in rs] == [(k, 4096 * k) for k in range(len(rs))]
+    for rs in bins_of(got).values():
         rs.sort(key=lambda r: r.bin_offset)
         assert [r.bin_offset for r in rs] == [sum(x.n_tokens for x in rs[:k]) for k in range(len(rs))]
         used = sum(r.n_tokens for r in rs)
-        assert rs[0].bin_tokens == used and rs[0].capacity == min(c for c in packing.LENGTHS if c >= used)
+        assert {(r.bin_tokens, r.capacity) for r in rs} == {(used, min(c for c in packing.LENGTHS if c >= used))}
+
+
+def test_bins_do_not_hang_on_where_rows_lie(spark):
+    rows = [(i % 90, " ".join(["w"] * RNG.randrange(1, 3000))) for i in range(180)] + ODD
+    df = docs(spark, rows)
+    one, other = (sorted(map(repr, packing.pack_documents(d, tokens=blanks(), window=50).collect())) for d in (df.coalesce(1), df.orderBy(F.rand(3)).repartition(7)))
+    assert one == other
+    assert packing.pack_documents(df.limit(0), tokens=blanks()).count() == 0
 
 
-def test_best_fit_takes_the_fullest_bin():
-    place, caps = packing.pack([60, 50, 40, 30, 10], (100,))
-    assert [b for b, _ in place] == [0, 1, 0, 1, 1] and caps == [100, 100]
+def cheapest(sizes, lengths, cost):
+    """The least cost of any packing."""
+    best, top = [float("inf")], max(lengths)
+
+    def go(i, bins):
+        if i == len(sizes):
+            best[0] = min(best[0], sum(cost(packing.smallest(lengths, b), top) for b in bins))
+            return
+        for k in {b: k for k, b in enumerate(bins) if b + sizes[i] <= top}.values():
+            go(i + 1, [*bins[:k], bins[k] + sizes[i], *bins[k + 1 :]])
+        go(i + 1, [*bins, sizes[i]])
+
+    go(0, [])
+    return best[0]
+
+
+def test_packing_against_exhaustive_search(monkeypatch):
+    price = lambda n, top: 1 + n + 0.25 * n * n / top
+    monkeypatch.setattr(packing, "cost", price)
+    rng, ratios = random.Random(2), []
+    for k in range(60):
+        sizes = [rng.randrange(1, 33 if k % 2 else 14) for _ in range(7)]
+        _, _, caps = packing.pack(sizes, (8, 16, 32))
+        ratios.append(sum(price(c, 32) for c in caps) / cheapest(sizes, (8, 16, 32), price))
+    assert min(ratios) > 0.999 and max(ratios) < 1.25 and sum(ratios) / len(ratios) < 1.03
+
+
+def test_capacities_are_chosen_jointly_and_downsized():
+    place, opened, caps = packing.pack([300] * 12)
+    assert opened == caps == [1024] * 4 and sorted(b for b, _ in place) == [0, 0, 0, 1, 1, 1, 2, 2, 2, 3, 3, 3]  # three to a bin beat one in 512
+    _, opened, caps = packing.pack([4, 7, 8, 9, 2, 15, 12, 3, 11], (8, 16, 32))
+    assert opened == [32, 32, 16] and caps == [32, 32, 8]
+    place, _, caps = packing.pack([60, 50, 40, 30, 10], (100,))
+    assert [b for b, _ in place] == [0, 1, 0, 1, 1] and caps == [100, 100]  # the fullest bin
+
+
+def test_sequences_hold_the_tokens_of_the_texts(spark):
+    public = pytest.importorskip("public_tokenizers")
+    path = public.path("word_bpe_49k.json")
+    bpe = bpe_trie.encoder(path)
+    rows = [(i, prose(RNG.choice((3, 40, 200)))) for i in range(30)] + ODD
+    got = packing.sequences(docs(spark, rows), path, lengths=(16, 64)).collect()
+    assert all(r.n_tokens == len(r.ids) <= 64 for r in got)
+    for i, t in rows:
+        own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
+        if sum(j == i for j, _ in rows) == 1:
+            assert sum((r.ids for r in own), []) == bpe.encode(t or "") and own[0].text == t and all(r.text is None for r in own[1:])
 
 
 # --- op5 ---------------------------------------------------------------------
@@ -375,7 +445,7 @@ def test_toxicity_held_out(spark):
 def test_empty_tables_and_odd_rows(spark):
     odd, none = docs(spark, ODD), docs(spark, ODD).limit(0)
     crf = line_crf.LineCrf(np.zeros((line_crf.N_FEATURES, 2)), np.zeros((2, 2)))
-    for f, n in ((lambda d: line_crf.judge(d, crf), 8), (SD.digests, 8), (SO.digests, 8), (packing.pack_documents, None)):
+    for f, n in ((lambda d: line_crf.judge(d, crf), 8), (SD.digests, 8), (SO.digests, 8), (lambda d: packing.pack_documents(d, tokens=blanks()), None)):
         assert f(none).count() == 0
         assert n is None or f(odd).count() == n
     assert DM.classes(none).count() == 0 and DM.classes(odd).count() == 7
