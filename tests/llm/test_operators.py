@@ -364,6 +364,47 @@ def test_text_around_boilerplate_without_an_article():
     assert line_block.main_text(page) == "First block.\nThe longest block of this text.\nMore.\nLast block."
 
 
+def test_names_on_paragraphs_of_an_article_are_no_boilerplate():
+    page = "<article><h1>T</h1><p class=alert>One.</p><p id=related>Two.</p><p class='share'>Three.</p><h2 id=comments-on-life>Four</h2><p class='ad'>Buy!</p><div class=alert>Beware</div><p><a href=x>Five</a></p></article>"
+    assert line_block.main_text(page) == "T\nOne.\nTwo.\nThree.\nFour\nFive"
+
+
+def test_lengths_and_links_decide_where_no_tag_does():
+    prose_ = [f"Paragraph {i} says a good deal about what the page is for, and goes on for a while." for i in range(6)]
+    text = "".join(f"<p>{p}</p>" for p in prose_)
+    menu = "".join(f"<div><a href=/{i}>Entry {i}</a></div>" for i in range(5))
+    page = f"<div>12 May</div><div>{menu}</div><h1>Title</h1>{text}<p><a href=/more>One link in the text</a></p><p>{prose_[0]}</p><div>{menu}</div><div>Made by us</div>"
+    assert line_block.main_text(page) == "\n".join(["Title", *prose_, "One link in the text", prose_[0]])
+    # a small article beside a long text that no tag names
+    page = f"<article><p>Teaser.</p></article><ul>{menu}</ul><h1>Title</h1>{text}"
+    assert line_block.main_text(page) == "\n".join(["Teaser.", "Title", *prose_])
+    assert line_block.main_text(f"<article><p>{prose_[0]}</p></article><div>Page 1 of 2</div>") == prose_[0]
+    # a form or an unlucky wrapper around the whole page
+    assert line_block.main_text(f"<form><nav>menu</nav><div>{text}</div></form>") == line_block.main_text(f"<div class=widget>{text}</div>") == "\n".join(prose_)
+    # adverts alone are no text, nor what stands beside an empty article
+    assert line_block.main_text("<div class=ad>Buy</div>") == line_block.main_text("<div class=ad>Buy</div><article></article><div>x</div>") == ""
+
+
+def test_stretches_are_those_of_brute_force():
+    for _ in range(300):
+        w = [RNG.choice((0, 0, 0, 1, 7)) for _ in range(RNG.randrange(12))]
+        window = RNG.choice((1, 2, 3))
+        inside = [False] * len(w)
+        for i in range(len(w)):  # a line is in a stretch if a weighty line stands at or before it with no window of nothing from there on
+            inside[i] = any(w[k] and not any(not any(w[j : j + window]) for j in range(k, i + 1)) for k in range(i + 1))
+        got = line_block.stretches(w, window)
+        assert [any(a <= i < b for a, b in got) for i in range(len(w))] == inside
+        assert line_block.window_sums(w, window) == [sum(w[k] for k in range(i, len(w)) if k < i + window) for i in range(len(w))]
+
+
+def test_extract_odd_pages(spark):
+    rows = [(1, "http://x/", "<p>A &amp; B</p>"), (1, "http://x/", "<p>A &amp; B</p>"), (None, None, None), (3, "u", ""), (4, "u", "<" * 5000 + "<p>x"), (5, "u", "<div>" * 3000 + "deep")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("id", F.lit("clash"))
+    got = sorted((r.page_id or 0, r.url, r.text, r.n_chars) for r in line_block.extract(df).collect())
+    assert got[:4] == [(0, None, "", 0), (1, "http://x/", "A & B", 5), (1, "http://x/", "A & B", 5), (3, "u", "", 0)] and got[5][2] == "deep" and len(got) == 6
+    assert line_block.extract(df.limit(0)).count() == 0
+
+
 # --- op4 ---------------------------------------------------------------------
 
 
