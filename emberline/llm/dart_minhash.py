@@ -39,10 +39,12 @@ BANDS = K // ROWS
 #: Members of a bucket whose pairs are listed; larger buckets are checked in blocks.
 LISTED = 8
 #: Members and bytes of text of a block, about.
-BLOCK = 1024
+BLOCK = 512
 BLOCK_BYTES = 8 << 20
 #: Texts that share a shingle and are counted pair by pair; more common shingles are counted by matrix products.
 RARE = 16
+#: Parts that the rows of one text or class are dealt over where they are joined.
+SALTS = 8
 #: Bytes of text hashed at once.
 CHUNK = 1 << 20
 
@@ -155,22 +157,22 @@ def chunks(texts: list[str | None], size: int = CHUNK) -> list[tuple[int, int]]:
 
 
 def copy_key(text_col: str) -> Column:
-    """64 bits that stand for a whole text; null and empty texts differ."""
-    return F.xxhash64(F.md5(F.coalesce(F.col(text_col), F.lit("\0null"))))
+    """What stands for a whole text: its MD5 in full; null and empty texts differ."""
+    return F.md5(F.coalesce(F.col(text_col), F.lit("\0null")))
 
 
 def sketch(df: DataFrame) -> DataFrame:
-    """id, copy (key of the text), bytes and bands of each row of (id, copy, text)."""
+    """id, key (of the text), bytes and bands of each row of (id, key, text)."""
 
     def make():
         def step(x):
             bands = [b for lo, hi in chunks(x["text"]) for b in bands_of(x["text"][lo:hi])]
-            return {"id": x["id"], "copy": x["copy"], "size": x["size"], "bands": bands}
+            return {"id": x["id"], "key": x["key"], "size": x["size"], "bands": bands}
 
         return step
 
-    with_size = df.select("id", "copy", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
-    return map_batches(with_size, make, schema_of("id bigint, copy bigint, size bigint, bands array<bigint>"), rows=1024)
+    with_size = df.select("id", "key", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("size"), "text")
+    return map_batches(with_size, make, schema_of("id bigint, key string, size bigint, bands array<bigint>"), rows=1024)
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -249,14 +251,13 @@ def overlaps(texts: list[str], left: int) -> tuple[np.ndarray, np.ndarray]:
     return common, total
 
 
-def linked(bucket: int, copies: np.ndarray, bands: np.ndarray, wide: np.ndarray, texts: list[str], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one bucket between its first ``left`` members and the others (among all if ``left`` is their number).
+def apart(bucket: int, bands: np.ndarray, wide: np.ndarray, left: int) -> np.ndarray:
+    """Pairs that a bucket checks: its first ``left`` members by the others (all by all if ``left`` is their number).
 
-    Gives the linked members, one member of each one's connected set, and numbers of
-    links. Pairs that share a listed bucket (not ``wide``) or a larger one of an earlier
-    band are left to that bucket.
+    Pairs that share a listed bucket (not ``wide``) or a larger one of an earlier band
+    are left to that bucket.
     """
-    n = len(copies)
+    n = len(bands)
     here = int(np.flatnonzero(bands[0] == bucket)[0])
     rows, cols = slice(0, left), slice(left % n, n)
     own = np.ones((left, n - left % n), bool)
@@ -267,15 +268,23 @@ def linked(bucket: int, copies: np.ndarray, bands: np.ndarray, wide: np.ndarray,
         if k >= here:
             same &= ~wide[rows, k][:, None]
         own &= ~same
-    used = np.zeros(n, bool)
-    used[rows] |= own.any(1)
-    used[cols] |= own.any(0)
-    if not used.any():
-        return copies[:0], copies[:0], copies[:0]
-    own = own[used[rows]][:, used[cols]]
-    copies, left = copies[used], int(used[:left].sum())
+    return own
+
+
+def needed(bucket: int, bands: np.ndarray, wide: np.ndarray, left: int) -> np.ndarray:
+    """Which members of a bucket have a pair to check there."""
+    own = apart(bucket, bands, wide, left)
+    used = np.zeros(len(bands), bool)
+    used[:left] |= own.any(1)
+    used[left % len(bands) :] |= own.any(0)
+    return used
+
+
+def linked(bucket: int, copies: np.ndarray, bands: np.ndarray, wide: np.ndarray, texts: list[str], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links of one bucket among the pairs of :func:`apart`: the linked members, one member of each one's connected set, and numbers of links."""
     n = len(copies)
-    common, total = overlaps([t for t, u in zip(texts, used) if u], left)
+    own = apart(bucket, bands, wide, left)
+    common, total = overlaps(texts, left)
     cols = slice(left % n, n)
     most = total[:left, None] + total[None, cols] - common
     ok = own & (common / np.maximum(most, 1) >= threshold)
@@ -314,35 +323,36 @@ def listed_pairs(each: DataFrame) -> DataFrame:
     return firsts.select("a", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("b")).distinct()
 
 
-def links_in_blocks(each: DataFrame, copies: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
-    """Links in buckets of more than ``LISTED`` that no listed pair gives: a (copy), b (another of its connected set), n (links of a)."""
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
-    wide = cut(each.where(F.col("n") > LISTED).groupBy("copy").agg(F.collect_list(F.struct("bucket", blocks.alias("blocks"))).alias("wide")))
-    texts = rows.select("copy", "text").join(wide.select("copy"), "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
-    met = wide.join(copies.select("copy", "bands"), "copy").join(texts, "copy")
-    met = met.select("copy", "bands", F.transform("bands", lambda b: F.array_contains("wide.bucket", b)).alias("wide"), "text", F.explode("wide").alias("w"))
-    met = met.select("copy", "bands", "wide", "text", "w.bucket", "w.blocks", F.pmod(F.xxhash64("copy", "w.bucket"), "w.blocks").cast("int").alias("block"))
-    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "copy", "bands", "wide", "text"
-    )
-    schema = schema_of("a bigint, b bigint, n bigint")
+def texts_of(copies: DataFrame, wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """copy and text of the copies in ``wanted``: each is read from its row of least id, so a text that many rows hold is one row of the join."""
+    keys = wanted.join(copies.select("copy", "key", "least"), "copy").alias("w")
+    met = rows.alias("r").join(keys, (F.col("r.key") == F.col("w.key")) & F.col("r.id").eqNullSafe(F.col("w.least")))
+    return met.select("w.copy", "r.text").groupBy("copy").agg(F.first("text").alias("text"))
+
+
+GROUPED = "bucket bigint, i int, j int, block int, copy bigint, bands array<bigint>, wide array<boolean>"
+
+
+def by_group(met: DataFrame, names: list[str], schema: str, act) -> DataFrame:
+    """``act(rows, left)`` on each group (bucket, i, j) of ``met``, where ``left`` rows, which come first, are of block i; it gives rows of ``schema``."""
+    out_schema = schema_of(schema)
 
     def make():
         held: list[tuple] = []
 
         def flush(out):
-            bucket, i, j = held[0][:3]
+            i, j = held[0][1:3]
             held.sort(key=lambda r: (r[3], r[4]))
             left = sum(r[3] == i for r in held)
             if len(held) > 1 and (i == j or 0 < left < len(held)):
-                got = linked(bucket, np.array([r[4] for r in held], np.int64), np.array([r[5] for r in held], np.int64), np.array([r[6] for r in held], bool), [r[7] or "" for r in held], left, threshold)
-                for name, v in zip(schema.names, got):
-                    out[name].extend(v.tolist())
+                for r in act(held, left):
+                    for name, v in zip(out_schema.names, r):
+                        out[name].append(v)
             held.clear()
 
         def step(x):
-            out: dict = {n: [] for n in schema.names}
-            for r in zip(*(x[n] for n in ("bucket", "i", "j", "block", "copy", "bands", "wide", "text"))) if x is not None else ():
+            out: dict = {n: [] for n in out_schema.names}
+            for r in zip(*(x[n] for n in names)) if x is not None else ():
                 if held and r[:3] != held[0][:3]:
                     flush(out)
                 held.append(r)
@@ -352,42 +362,86 @@ def links_in_blocks(each: DataFrame, copies: DataFrame, rows: DataFrame, thresho
 
         return step
 
-    return map_batches(met.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j"), make, schema, finish=True)
+    dealt = met.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return map_batches(dealt, make, out_schema, finish=True)
 
 
-def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per distinct (id, text): id, class_id (the least id of its class), copy (key of the text) and n_links.
+def links_in_blocks(each: DataFrame, copies: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:
+    """Links in buckets of more than ``LISTED`` that no listed pair gives: a (copy), b (another of its connected set), n (links of a).
 
-    n_links: other texts (copies as one) at least ``threshold`` alike that share a bucket. Rows of a
-    null id are classed too; a class of null ids only has a null class_id.
+    Which members have a pair to check is told from their bands alone; only their texts are fetched.
     """
-    rows = df.select(F.col(id_col).cast("long").alias("id"), copy_key(text_col).alias("copy"), F.col(text_col).alias("text"))
-    held = cut(sketch(rows).distinct())
-    copies = held.groupBy("copy").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("int")
+    wide = cut(each.where(F.col("n") > LISTED).groupBy("copy").agg(F.collect_list(F.struct("bucket", blocks.alias("blocks"))).alias("wide")))
+    met = wide.join(copies.select("copy", "bands"), "copy")
+    met = met.select("copy", "bands", F.transform("bands", lambda b: F.array_contains("wide.bucket", b)).alias("wide"), F.explode("wide").alias("w"))
+    met = met.select("copy", "bands", "wide", "w.bucket", "w.blocks", F.pmod(F.xxhash64("copy", "w.bucket"), "w.blocks").cast("int").alias("block"))
+    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "copy", "bands", "wide"
+    )
+    names = schema_of(GROUPED).names
+
+    def arrays(held):
+        return np.array([r[5] for r in held], np.int64), np.array([r[6] for r in held], bool)
+
+    def choose(held, left):
+        return [r for r, u in zip(held, needed(held[0][0], *arrays(held), left)) if u]
+
+    def link(held, left):
+        got = linked(held[0][0], np.array([r[4] for r in held], np.int64), *arrays(held), [r[7] or "" for r in held], left, threshold)
+        return zip(*(v.tolist() for v in got))
+
+    chosen = cut(by_group(met, names, GROUPED, choose))
+    texts = texts_of(copies, chosen.select("copy").distinct(), rows)
+    return by_group(chosen.join(texts, "copy"), [*names, "text"], "a bigint, b bigint, n bigint", link)
+
+
+def classed(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """``rows`` (id, key, text), and of each distinct text: key, least (id that holds it), class_id, n_links, and whether its row of least id is the first of its class."""
+    sketched = sketch(rows).groupBy("key").agg(F.min("id").alias("least"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    # texts are numbered, and the numbers written, so that whole keys tell them apart and short ones are moved
+    copies = cut(sketched.withColumn("copy", F.monotonically_increasing_id()))
     members = cut(buckets(copies))
     pairs = cut(listed_pairs(members))
     ends = lambda e: e.groupBy(F.col("a").alias("copy")).agg(F.count("*").alias("n")).unionByName(e.groupBy(F.col("b").alias("copy")).agg(F.count("*").alias("n")))
-    wanted = ends(pairs).select("copy").distinct()
-    texts = rows.select("copy", "text").join(wanted, "copy", "left_semi").groupBy("copy").agg(F.first("text").alias("text"))
-    links = cut(checked(pairs, texts, threshold))
+    links = cut(checked(pairs, texts_of(copies, ends(pairs).select("copy").distinct(), rows), threshold))
     in_blocks = cut(links_in_blocks(members, copies, rows, threshold))
     named = components(links.unionByName(in_blocks.select("a", "b")))
     degree = ends(links).unionByName(in_blocks.select(F.col("a").alias("copy"), "n")).groupBy("copy").agg(F.sum("n").alias("n_links"))
-    each = copies.select("copy", "least").join(named.withColumnRenamed("node", "copy"), "copy", "left").withColumn("label", F.coalesce("label", "copy"))
-    ids = each.groupBy("label").agg(F.min("least").alias("class_id"))
-    each = each.join(ids, "label").join(degree, "copy", "left")
-    out = held.select("id", "copy").join(each.select("copy", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "copy")
-    return out.select(F.col("id").alias(id_col), "class_id", "copy", "n_links")
+    order = F.struct(F.col("least").isNull().alias("no"), F.col("least").alias("i"), F.col("key").alias("k"))
+    linked_ = copies.select("copy", "key", "least").join(named.withColumnRenamed("node", "copy"), "copy").withColumn("salt", F.pmod(F.xxhash64("copy"), F.lit(SALTS)))
+    heads = linked_.groupBy("label").agg(F.min(order).alias("head")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    in_class = linked_.join(heads, ["label", "salt"]).select("copy", F.col("head.i").alias("class_id"), (F.col("head.k") == F.col("key")).alias("first"))
+    each = copies.select("copy", "key", "least").join(in_class, "copy", "left").join(degree, "copy", "left")
+    return rows, each.select(
+        "key", "least", F.when(F.col("first").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("first", F.lit(True)).alias("first"),
+    )
+
+
+def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), copy_key(text_col).alias("key"), F.col(text_col).alias("text"))
+
+
+def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row per distinct (id, text): id, class_id (the least id of its class), copy (key of the text) and n_links.
+
+    n_links: other texts (copies as one) at least ``threshold`` alike that share a bucket. Rows of a
+    null id are classed too; a class of null ids only has a null class_id. An empty table gives no rows.
+    """
+    rows, each = classed(keyed(df, id_col, text_col), threshold)
+    # a text that many rows hold is dealt over several tasks
+    held = rows.select("id", "key").distinct().withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
+    each = each.select("key", "class_id", "n_links", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    return held.join(each, ["key", "salt"]).select(F.col("id").alias(id_col), "class_id", F.col("key").alias("copy"), "n_links")
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """``df`` with one row of each class: that of its least id (the least text key among rows of one id).
 
-    Texts without words are kept apart by their exact text only.
+    Texts without words are kept apart by their exact text only. Rows alike in id and text are one document.
     """
-    found = classes(df, id_col, text_col, threshold)
-    first = found.groupBy("class_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("no"), F.col(id_col).alias("i"), F.col("copy").alias("c"))).alias("f")).select("f.i", "f.c")
-    key = copy_key(text_col)
-    kept = df.withColumn("_copy", key).join(first.alias("f"), F.col(id_col).cast("long").eqNullSafe(F.col("f.i")) & (F.col("_copy") == F.col("f.c")), "left_semi")
-    # rows alike in id and text are one document
-    return kept.dropDuplicates([id_col, "_copy"]).drop("_copy")
+    _, each = classed(keyed(df, id_col, text_col), threshold)
+    first = each.where("first").select("least", "key").alias("f")
+    kept = df.withColumn("_key", copy_key(text_col)).alias("d").join(first, F.col(id_col).cast("long").eqNullSafe(F.col("f.least")) & (F.col("_key") == F.col("f.key")), "left_semi")
+    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
