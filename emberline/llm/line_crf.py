@@ -1,15 +1,22 @@
 """Quality rules: a linear-chain conditional random field labels lines as content or boilerplate.
 
-Each non-blank line is described by a few binned features (share of symbols and of
+Each line with words is described by a few binned features (share of symbols and of
 digits, length, repetition, punctuation, case, notice words). A two-state CRF with
-weights for features and transitions is trained by gradient steps on its exact log
-likelihood (forward-backward), from a bounded sample of labelled documents whose
-lines take their document's label. Viterbi decoding labels the lines of a text; the
-share of its words in content lines decides whether it is kept.
+weights for features and transitions is fitted to a bounded sample of labelled documents,
+whole. Their lines' labels are not known: of a good document at least SHARE of the words
+lie in content lines, of a bad one at least that share in boilerplate, and which lines
+those are is latent. Each step finds, by forward-backward, the distribution over paths
+that is nearest to the model's and meets the document's share (its chain tilted by one
+number), and moves the weights from the model's expected features towards that one's
+(posterior regularisation). So good documents may hold boilerplate and bad ones content.
+Viterbi decoding labels the lines of a text; the share of its words in content lines decides
+whether it is kept.
 
 Null texts count as empty: no words, base_failed. Texts without lines of words are
-not kept. Words are ``[^\\x20\\x09-\\x0D]+``. Texts of any length are read whole; no
-row is dropped; repeated rows give equal rows; an empty table gives none.
+not kept. Words are ``[^\\x20\\x09-\\x0D]+``. Texts of any length are read whole, in
+training too; rows of null ids or texts are not trained on; no
+row is dropped; repeated rows give equal rows; other columns are ignored; an empty table gives none.
+Without labels nothing is known and every line is content.
 """
 
 from __future__ import annotations
@@ -21,7 +28,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, map_batches, schema_of
+from ._common import map_batches, schema_of
 
 SYMBOLS = "#*$%&|<>"
 BLANKS = " \t\n\x0b\x0c\r"
@@ -30,8 +37,12 @@ NOTICE = re.compile(r"licen[sc]ed|copyright|all rights reserved|cookie|subscribe
 SIZES = (5, 4, 3, 3, 2, 2, 2, 2, 2, 2)
 OFFSETS = np.cumsum((0, *SIZES))[:-1]
 N_FEATURES = sum(SIZES)
+#: Labelled documents that the model is fitted to, whole.
 SAMPLE_DOCS = 3000
-SAMPLE_LINES = 200
+#: Words of a document that its label speaks for.
+SHARE = 0.8
+#: Lines of a segment of a chain.
+SEGMENT = 32
 
 
 def words_of(text: str) -> list[bytes]:
@@ -90,6 +101,72 @@ def repeated(words: list, n: int = 5) -> int:
     return total
 
 
+class Chains:
+    """Forward and backward sums over many chains at once, cut into segments so that a long chain takes few steps.
+
+    Each segment's 2 x 2 transfer is summed for all segments together, chains are
+    passed segment by segment, and then each segment is gone through from what
+    comes in: the same sums as line by line.
+    """
+
+    def __init__(self, chains: list[tuple[np.ndarray, np.ndarray]]):
+        """``chains``: features (lines, kinds) and words of the lines, at least one line each."""
+        sizes = np.array([len(f) for f, _ in chains])
+        parts = -(-sizes // SEGMENT)
+        self.n, self.chain = len(chains), np.repeat(np.arange(len(chains)), parts)
+        self.nth = np.arange(len(self.chain)) - np.repeat(np.cumsum(parts) - parts, parts)
+        self.start, self.parts = np.cumsum(parts) - parts, parts
+        self.feats = np.zeros((len(self.chain), SEGMENT, len(SIZES)), np.int64)
+        self.mask = np.zeros((len(self.chain), SEGMENT), bool)
+        self.weight = np.zeros((len(self.chain), SEGMENT))
+        for s, (i, k) in enumerate(zip(self.chain, self.nth)):
+            f, words = chains[i]
+            part = slice(k * SEGMENT, (k + 1) * SEGMENT)
+            n = len(f[part])
+            self.feats[s, :n], self.mask[s, :n] = f[part], True
+            self.weight[s, :n] = words[part] * (len(f) / words.sum())
+        self.lines = sizes
+        self.steps = [np.flatnonzero(self.nth == k) for k in range(parts.max())]
+
+    def run(self, e: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Marginals (segments, lines, states) and expected transitions (segments, lines, from, to)."""
+        many, gone = len(self.chain), np.log(np.zeros(1) + 1e-300)[0]
+        into = np.broadcast_to(move, (many, 2, 2)).copy()  # into a segment's first line; a chain's first has nothing before it
+        into[self.nth == 0] = 0
+        step = lambda t: into if t == 0 else move[None]
+        total = lambda x, axis: np.logaddexp(np.take(x, 0, axis), np.take(x, 1, axis))
+        pass_ = np.broadcast_to(np.array([[0.0, gone], [gone, 0.0]]), (many, 2, 2))
+        for t in range(SEGMENT):
+            new = total(pass_[:, :, :, None] + step(t)[:, None], 2) + e[:, t, None, :]
+            pass_ = np.where(self.mask[:, t, None, None], new, pass_)
+        come = np.empty((many, 2))
+        come[self.steps[0]] = [0.0, gone]
+        for now in self.steps[1:]:
+            come[now] = total(come[now - 1][:, :, None] + pass_[now - 1], 1)
+        last = self.start + self.parts - 1
+        z = total(total(come[last][:, :, None] + pass_[last], 1), 1)[self.chain]
+        follow = np.zeros((many, 2))
+        for now in reversed(self.steps[1:]):
+            follow[now - 1] = total(pass_[now] + follow[now][:, None, :], 2)
+        before, fwd, bwd = np.empty((many, SEGMENT, 2)), np.empty((many, SEGMENT, 2)), np.empty((many, SEGMENT, 2))
+        v, w = come, follow
+        for t in range(SEGMENT):
+            before[:, t] = v
+            v = np.where(self.mask[:, t, None], total(v[:, :, None] + step(t), 1) + e[:, t], v)
+            fwd[:, t] = v
+        for t in reversed(range(SEGMENT)):
+            bwd[:, t] = w
+            w = np.where(self.mask[:, t, None], total(step(t) + (e[:, t] + w)[:, None, :], 2), w)
+        p = np.exp(fwd + bwd - z[:, None, None]) * self.mask[:, :, None]
+        joint = np.exp(before[:, :, :, None] + move + (e + bwd)[:, :, None, :] - z[:, None, None, None]) * self.mask[:, :, None, None]
+        joint[self.nth == 0, 0] = 0
+        return p, joint
+
+    def share(self, p: np.ndarray) -> np.ndarray:
+        """Expected share of each chain's words in content lines."""
+        return np.bincount(self.chain, (p[:, :, 1] * self.weight).sum(1), self.n) / self.lines
+
+
 class LineCrf:
     """Two states: 0 boilerplate, 1 content. ``emit`` and ``move`` are log potentials."""
 
@@ -98,42 +175,34 @@ class LineCrf:
         self.known: dict[tuple, tuple[float, float]] = {}
 
     @classmethod
-    def train(cls, docs: list[tuple[list[tuple[int, ...]], int]], steps: int = 60, rate: float = 4.0, l2: float = 1e-4) -> LineCrf:
-        """``docs``: features of the lines and the label of each document. Sequences of one length are stepped through together."""
+    def train(cls, docs: list[tuple[np.ndarray, np.ndarray, int]], steps: int = 80, rate: float = 4.0, l2: float = 1e-3) -> LineCrf:
+        """``docs``: features (lines, kinds) and words of the lines of whole documents, and their labels."""
         emit, move = np.zeros((N_FEATURES, 2)), np.zeros((2, 2))
-        groups: dict[int, list] = {}
-        for feats, y in docs:
-            for at in range(0, len(feats), SAMPLE_LINES):
-                part = feats[at : at + SAMPLE_LINES]
-                groups.setdefault(len(part), []).append((np.array(part) + OFFSETS, y))
-        packed = [(np.stack([f for f, _ in g]), np.array([y for _, y in g])) for n, g in sorted(groups.items()) if n]
-        lines = sum(f.shape[0] * f.shape[1] for f, _ in packed) or 1
+        docs = [d for d in docs if len(d[0])]
+        if not docs:
+            return cls(emit, move)
+        chains = Chains([(np.asarray(f) + OFFSETS, np.asarray(w)) for f, w, _ in docs])
+        sign = np.array([1.0 if y else -1.0 for _, _, y in docs])
+        tilt = np.zeros(len(docs))
+        # every document counts alike, whatever its length
+        by = (1.0 / (chains.lines * len(docs)))[chains.chain]
         for _ in range(steps):
-            ge, gm = np.zeros_like(emit), np.zeros_like(move)
-            for f, y in packed:
-                e = emit[f].sum(2)  # documents, lines, states
-                n = e.shape[1]
-                fwd, bwd = np.empty_like(e), np.zeros_like(e)
-                fwd[:, 0] = e[:, 0]
-                for t in range(1, n):
-                    fwd[:, t] = e[:, t] + np.logaddexp.reduce(fwd[:, t - 1, :, None] + move, axis=1)
-                for t in range(n - 2, -1, -1):
-                    bwd[:, t] = np.logaddexp.reduce(move + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], axis=2)
-                z = np.logaddexp.reduce(fwd[:, -1], axis=1)
-                p = np.exp(fwd + bwd - z[:, None, None])
-                truth = np.zeros_like(p)
-                truth[np.arange(len(y)), :, y] = 1
-                diff = truth - p
-                for s in (0, 1):
-                    ge[:, s] += np.bincount(f.ravel(), np.repeat(diff[:, :, s].ravel(), f.shape[2]), N_FEATURES)
-                if n > 1:
-                    joint = np.exp(fwd[:, :-1, :, None] + move + (e + bwd)[:, 1:, None, :] - z[:, None, None, None])
-                    gm -= joint.sum((0, 1))
-                    gm[0, 0] += (y == 0).sum() * (n - 1)
-                    gm[1, 1] += (y == 1).sum() * (n - 1)
-            emit += rate * (ge / lines - l2 * emit)
-            move += 0.1 * rate * (gm / lines - l2 * move)
-        return cls(emit, np.clip(move, -1.0, 1.0))
+            e = emit[chains.feats].sum(2)
+            p, joint = chains.run(e, move)
+            for _ in range(3):
+                tilted = e.copy()
+                tilted[:, :, 1] += (sign * tilt)[chains.chain][:, None] * chains.weight
+                q, joint_q = chains.run(tilted, move)
+                short = SHARE - np.where(sign > 0, chains.share(q), 1 - chains.share(q))
+                tilt = np.clip(tilt + 4.0 * short, 0.0, 30.0)
+            diff = (q - p) * by[:, None, None]
+            flat = chains.feats.ravel()
+            for s in (0, 1):
+                emit[:, s] += rate * np.bincount(flat, np.repeat(diff[:, :, s].ravel(), chains.feats.shape[2]), N_FEATURES)
+            move += 0.25 * rate * ((joint_q - joint) * by[:, None, None, None]).sum((0, 1))
+            emit -= rate * l2 * emit
+            move -= rate * l2 * move
+        return cls(emit, move)
 
     def potentials(self, f: tuple[int, ...]) -> tuple[float, float]:
         got = self.known.get(f)
@@ -165,11 +234,10 @@ class LineCrf:
         return sum(n for n, y in zip(sizes, self.viterbi(feats)) if y) / total if total else 0.0
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = SAMPLE_DOCS) -> list[tuple[list, int]]:
-    """Line features of at most ``limit`` labelled documents, those with the smallest hashes of their ids.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = SAMPLE_DOCS) -> list[tuple[np.ndarray, np.ndarray, int]]:
+    """Line features, words of the lines, and label of at most ``limit`` labelled documents, those with the smallest hashes of their ids; all their lines.
 
-    Line features are made on the executors. Documents are split into pieces of SAMPLE_LINES
-    lines; the ``limit`` pieces with the smallest hashes of their ids and places come to the driver.
+    Features are made on the executors and come as one byte each.
     """
     chosen = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("int").alias("y"))
     chosen = chosen.groupBy("id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(limit)
@@ -177,20 +245,18 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def make():
         def step(x):
-            out: dict = {"id": [], "y": [], "at": [], "feats": []}
-            for i, y, t in zip(x["id"], x["y"], x["text"]):
-                feats = read(t)[0]
-                for at in range(0, len(feats), SAMPLE_LINES):
-                    for n, v in zip(out, (i, y, at, [list(f) for f in feats[at : at + SAMPLE_LINES]])):
-                        out[n].append(v)
-            return out
+            read_ = [read(t) for t in x["text"]]
+            return {
+                "id": x["id"], "y": x["y"], "feats": [np.array(r[0], np.uint8).tobytes() for r in read_],
+                "sizes": [np.array(r[1], np.int32).tobytes() for r in read_],
+            }
 
         return step
 
-    pieces = cut(map_batches(rows, make, schema_of("id bigint, y int, at bigint, feats array<array<int>>")).withColumn("hash", F.xxhash64("id", "at", "feats")))
-    last = pieces.select("hash").orderBy("hash").limit(limit).agg(F.max("hash")).first()[0]
-    got = pieces.where(F.col("hash") <= F.lit(last)).collect()
-    return [([tuple(f) for f in r["feats"]], r["y"]) for r in sorted(got, key=lambda r: (r["id"], r["y"], r["at"], r["feats"]))]
+    # a text that has several rows is learnt once; of unlike texts of one id that of the least features is taken
+    once = map_batches(rows, make, schema_of("id bigint, y int, feats binary, sizes binary")).groupBy("id").agg(F.min(F.struct("feats", "sizes", "y")).alias("r"))
+    got = sorted((tuple(r) for r in once.select("id", "r.feats", "r.sizes", "r.y").collect()), key=lambda r: r[0])
+    return [(np.frombuffer(f, np.uint8).reshape(-1, len(SIZES)), np.frombuffer(n, np.int32), y) for _, f, n, y in got]
 
 
 def fit(docs: DataFrame, labels: DataFrame, **options) -> LineCrf:

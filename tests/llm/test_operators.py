@@ -209,26 +209,84 @@ def test_quality_base_counts(spark):
     assert got[2].n_dup_lines == 1 and got[3].n_symbols == 12 and got[0].kept and not got[5].kept
 
 
-def test_crf_learns_from_all_lines(spark):
+def test_crf_learns_from_whole_documents(spark):
     text = "\n".join([f"line {i} of the text" for i in range(450)] + ["click here | login"] * 50)
-    labels = spark.createDataFrame([(1, 0), (2, 1)], "doc_id long, quality int")
-    df = docs(spark, [(1, text), (2, "short"), (3, text)])
+    labels = spark.createDataFrame([(1, 0), (2, 1), (4, 1), (None, 1), (7, 3)], "doc_id long, quality int")
+    df = docs(spark, [(1, text), (2, "short"), (3, text), (4, None), (None, "x"), (2, "short"), (7, "x")])
     got = line_crf.sample(df, labels)
-    assert [len(f) for f, _ in got] == [200, 200, 100, 1] and sum((f for f, _ in got[:3]), []) == list(map(tuple, line_crf.read(text)[0]))
-    assert len(line_crf.sample(df, labels, limit=2)) == 2
+    assert [(len(f), y) for f, _, y in got] == [(500, 0), (1, 1)]
+    assert got[0][0].tolist() == [list(f) for f in line_crf.read(text)[0]] and got[0][1].tolist() == line_crf.read(text)[1]
+    assert len(line_crf.sample(df, labels, limit=1)) == 1
+    assert line_crf.fit(df.limit(0), labels).viterbi([(0,) * 10]) == [1]
 
 
-def test_crf_learns_and_viterbi_is_best():
+def all_paths(emit, move):
+    """Every path over the lines of one chain and its weight."""
+    for path in __import__("itertools").product((0, 1), repeat=len(emit)):
+        yield path, np.exp(sum(emit[t, s] for t, s in enumerate(path)) + sum(move[a, b] for a, b in zip(path, path[1:])))
+
+
+@pytest.mark.parametrize("segment", [1, 3, 32])
+def test_sums_over_chains_are_those_of_all_paths(monkeypatch, segment):
+    monkeypatch.setattr(line_crf, "SEGMENT", segment)
+    rng = np.random.default_rng(1)
+    chains = [(np.stack([rng.integers(0, s, n) for s in line_crf.SIZES], 1) + line_crf.OFFSETS, rng.integers(1, 9, n)) for n in (1, 2, 3, 4, 7, 8)]
+    emit, move = rng.normal(size=(line_crf.N_FEATURES, 2)), rng.normal(size=(2, 2))
+    c = line_crf.Chains(chains)
+    p, joint = c.run(emit[c.feats].sum(2), move)
+    for i, (f, words) in enumerate(chains):
+        paths = list(all_paths(emit[f].sum(1), move))
+        z = sum(v for _, v in paths)
+        own = np.flatnonzero(c.chain == i)
+        got = p[own].reshape(-1, 2)[c.mask[own].ravel()]
+        want = np.array([[sum(v for path, v in paths if path[t] == s) / z for s in (0, 1)] for t in range(len(f))])
+        moves = np.array([[sum(v * sum(x == (a, b) for x in zip(path, path[1:])) for path, v in paths) / z for b in (0, 1)] for a in (0, 1)])
+        assert np.allclose(got, want) and np.allclose(joint[own].sum((0, 1)), moves)
+        assert np.isclose(c.share(p)[i], (want[:, 1] * words).sum() / words.sum())
+
+
+def test_boilerplate_is_found_inside_good_documents():
+    rng = random.Random(4)
+    line = lambda: " ".join(rng.choice(WORDS) for _ in range(rng.randrange(5, 8))) + "."
+    junk = lambda: rng.choice(["Click here | Login | Subscribe", "*** $$$ ### &&& |||", "COPYRIGHT ALL RIGHTS RESERVED 2024"])
+
+    def doc(good):
+        n = rng.randrange(8, 14)
+        at = {rng.randrange(n)}
+        return ["\n".join(line() if (k not in at) == good else junk() for k in range(n)), good]
+
+    known = [doc(k % 2 == 0) for k in range(120)]
+    model = line_crf.LineCrf.train([(np.array(f), np.array(w), int(y)) for t, y in known for f, w in [line_crf.read(t)[:2]]])
+    right = total = 0
+    for _ in range(40):
+        text, good = doc(rng.random() < 0.5)
+        feats, sizes, _, _ = line_crf.read(text)
+        labels = model.viterbi(feats)
+        want = [int(x.endswith(".") and x.islower()) for x in text.split("\n")]
+        right += sum(a == b for a, b in zip(labels, want))
+        total += len(want)
+        assert (model.share(feats, sizes) >= 0.5) == good and set(labels) == {0, 1}
+    assert right >= 0.95 * total
+    assert model.move.max() > 0 and abs(model.move).max() < 10
+
+
+def test_viterbi_is_best():
     rng = np.random.default_rng(3)
-    docs_ = [([tuple(int(rng.integers(s)) if k else y for k, s in enumerate(line_crf.SIZES)) for _ in range(6)], y) for y in (0, 1) * 40]
-    m = line_crf.LineCrf.train(docs_)
-    assert all(m.viterbi(f) == [y] * 6 for f, y in docs_)
-    f = docs_[0][0][:4] + docs_[1][0][:3]
+    m = line_crf.LineCrf(rng.normal(size=(line_crf.N_FEATURES, 2)), rng.normal(size=(2, 2)))
+    for _ in range(20):
+        f = [tuple(int(rng.integers(s)) for s in line_crf.SIZES) for _ in range(7)]
+        emit = np.array([m.potentials(x) for x in f])
+        weight = dict(all_paths(emit, m.move))
+        assert np.isclose(weight[tuple(m.viterbi(f))], max(weight.values()))
 
-    def value(path):
-        return sum(m.potentials(x)[s] for x, s in zip(f, path)) + sum(m.move[a, b] for a, b in zip(path, path[1:]))
 
-    assert abs(value(m.viterbi(f)) - max(value([n >> i & 1 for i in range(7)]) for n in range(128))) < 1e-9
+def test_keep_of_odd_rows(spark):
+    model = line_crf.LineCrf(np.zeros((line_crf.N_FEATURES, 2)), np.zeros((2, 2)))
+    good = "one two three four five six seven eight nine ten eleven"
+    df = docs(spark, [*ODD, (9, good), (9, good), (None, good)])
+    kept = line_crf.keep(df, model)
+    assert kept.columns == df.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, good), (9, good), (9, good)]
+    assert line_crf.keep(df.limit(0), model).count() == 0
 
 
 # --- op3 ---------------------------------------------------------------------
@@ -311,17 +369,19 @@ def test_capacities_are_chosen_jointly_and_downsized():
     assert [b for b, _ in place] == [0, 1, 0, 1, 1] and caps == [100, 100]  # the fullest bin
 
 
-def test_sequences_hold_the_tokens_of_the_texts(spark):
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_multi_50k.tiktoken"])
+def test_sequences_hold_the_tokens_of_the_texts(spark, name):
     public = pytest.importorskip("public_tokenizers")
-    path = public.path("word_bpe_49k.json")
-    bpe = bpe_trie.encoder(path)
+    path = public.path(name)
+    encode = packing.encoder(path)
     rows = [(i, prose(RNG.choice((3, 40, 200)))) for i in range(30)] + ODD
     got = packing.sequences(docs(spark, rows), path, lengths=(16, 64)).collect()
     assert all(r.n_tokens == len(r.ids) <= 64 for r in got)
     for i, t in rows:
         own = sorted((r for r in got if r.doc_id == i), key=lambda r: r.piece)
         if sum(j == i for j, _ in rows) == 1:
-            assert sum((r.ids for r in own), []) == bpe.encode(t or "") and own[0].text == t and all(r.text is None for r in own[1:])
+            assert sum((r.ids for r in own), []) == encode(t or "") and own[0].text == t and all(r.text is None for r in own[1:])
+    assert sum(r.n_tokens for r in packing.pack_documents(docs(spark, rows), tokenizer=path).collect()) == sum(len(encode(t or "")) for _, t in rows)
 
 
 # --- op5 ---------------------------------------------------------------------
