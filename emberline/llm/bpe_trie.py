@@ -252,20 +252,6 @@ def encoder(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def count_tokens(df: DataFrame, path: str) -> DataFrame:
-    """id, key and n (number of tokens) of each row of (id, key, text)."""
-
-    def make():
-        bpe = encoder(path)
-
-        def step(x):
-            return {"id": x["id"], "key": x["key"], "n": [sum([q[1] for q in p]) for p in bpe.pieces([t or "" for t in x["text"]])]}
-
-        return step
-
-    return map_batches(df.select("id", "key", "text"), make, schema_of("id bigint, key string, n bigint"))
-
-
 def encode_documents(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``df``: ``id_col``, ids array<int>, decoded string."""
     schema = schema_of(f"{id_col} bigint, ids array<int>, decoded string")

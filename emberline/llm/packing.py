@@ -11,7 +11,8 @@ is left fills it better than a short one. At the end each bin is downsized to th
 shortest permitted length that holds its contents. What a bin was opened for is kept out
 of the histogram of later bins.
 
-Tokens are those of the given tokenizer, or a column of numbers. Rows are dealt to shards
+Tokens are those of the given tokenizer (a rank file of a byte-level vocabulary, whose ids
+give back the text, or the file of the trie encoder), or a column of numbers. Rows are dealt to shards
 of about ``window`` pieces by a hash of id, text and number of the copy, never by where they
 lie, so the bins of a table do not hang on its files or partitions; only numbers
 are held. Null and empty texts have no tokens; they get one row without a bin. Every
@@ -22,6 +23,9 @@ are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
+from functools import lru_cache
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +34,20 @@ from ._common import cut, map_batches, schema_of
 
 LENGTHS = (512, 1024, 2048, 4096)
 WINDOW = 100_000
+# Fixed value: how byte-level vocabularies cut a text before merging.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str):
+    """Text to token ids, once a worker process."""
+    if not path.endswith(".tiktoken"):
+        return bpe_trie.encoder(path).encode
+    import tiktoken
+
+    with open(path, "rb") as f:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
+    return tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
 
 def cost(length: int, largest: int, fixed: float = 32.0, square: float = 0.25) -> float:
@@ -119,13 +137,22 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> tuple[list[tup
 
 def counted(df: DataFrame, id_col: str, text_col: str, tokens: Column | None, tokenizer: str | None) -> DataFrame:
     """id, key (that of the text) and n (tokens) of each row."""
-    key = F.md5(text_col)
     if tokens is not None:
-        n = F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long")
-        return df.select(F.col(id_col).cast("long").alias("id"), (key if text_col in df.columns else F.lit(None).cast("string")).alias("key"), n.alias("n"))
+        key = F.md5(text_col) if text_col in df.columns else F.lit(None).cast("string")
+        return df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.greatest(F.coalesce(tokens, F.lit(0)), F.lit(0)).cast("long").alias("n"))
     if tokenizer is None:
         raise ValueError("packing needs a column of numbers of tokens or a tokenizer")
-    return bpe_trie.count_tokens(df.select(F.col(id_col).cast("long").alias("id"), key.alias("key"), F.col(text_col).alias("text")), tokenizer)
+
+    def make():
+        encode = encoder(tokenizer)
+
+        def step(x):
+            return {"id": x["id"], "key": x["key"], "n": [len(encode(t)) if t else 0 for t in x["text"]]}
+
+        return step
+
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.md5(text_col).alias("key"), F.col(text_col).alias("text"))
+    return map_batches(rows, make, schema_of("id bigint, key string, n bigint"))
 
 
 PIECES = "id bigint, key string, piece int, n_tokens bigint, doc_offset bigint, bin_id bigint, bin_offset bigint, capacity int, bin_tokens bigint"
@@ -206,10 +233,10 @@ def sequences(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: s
     schema = schema_of(f"{id_col} bigint, " + PIECES.split(", ", 2)[2] + ", ids array<int>, text string")
 
     def make():
-        bpe = bpe_trie.encoder(tokenizer)
+        encode = encoder(tokenizer)
 
         def step(x):
-            ids = [bpe.encode(t or "") for t in x["text"]]
+            ids = [encode(t or "") for t in x["text"]]
             cuts = [i[a : a + n] for i, a, n in zip(ids, x["doc_offset"], x["n_tokens"])]
             return {id_col: x["id"], **{c: x[c] for c in at}, "ids": cuts, "text": [t if not p else None for t, p in zip(x["text"], x["piece"])]}
 

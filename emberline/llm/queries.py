@@ -24,7 +24,7 @@ def op2_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 def op4_additive_quantisation(spark: SparkSession, sf_dir: str) -> DataFrame:
