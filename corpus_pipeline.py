@@ -32,7 +32,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the documents into sequences: a row for each piece, with its token ids, and the text on a document's first piece."""
     import public_tokenizers
 
-    return packing.sequences(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.sequences(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
 
 
 STAGES = [
