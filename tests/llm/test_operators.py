@@ -509,9 +509,9 @@ def test_search_is_exact_among_copies(spark):
 # --- op1 ---------------------------------------------------------------------
 
 
-def model():
+def model(more=()):
     counts = {}
-    text = " ".join(["idiot", "stupid", "moron", "the", "cat", "house", "sit", "toad"] * 20)
+    text = " ".join([*more, "idiot", "stupid", "moron", "the", "cat", "house", "sit", "toad"] * 20)
     c = NC.classes(" " + text + "  ").astype(int)
     for a, b, d in zip(c, c[1:], c[2:]):
         k = (a << 12) | (b << 6) | d
@@ -526,7 +526,29 @@ def test_deobfuscation(token, word):
 
 
 def test_spaced_letters():
-    assert NC.Restorer(model()).spaced("you i d i o t here") == ["idiot"]
+    restore = NC.Restorer(model(["you", "are", "a"]))
+    assert restore.spaced("you i d i o t here") == ["idiot"]
+    assert restore.spaced("y o u  i d i o t") == ["you", "idiot"]
+    assert restore.spaced("a  s t u p 1 d  i-d-i-o-t.") == ["a", "stupid", "idiot"]
+    assert restore.spaced("Y O U".lower()) == [] and restore.spaced("1 2 3 4 5 6") == []
+    assert restore.text("You are  y o u  i d i o t ,  a $tup1d m.o.r.o.n!!!") == "you are you idiot a stupid moron"
+
+
+@pytest.mark.parametrize("run", ["1d10t", "y o u  i d i o t", "$tup1d!", "s.t_u-p", "aaa b0 c", "(a+ |", "m00.r"])
+def test_restoring_is_the_best_of_all_paths(run):
+    restore = NC.Restorer(model(["you"]))
+
+    def value(path):
+        s, a, b = sum(p for _, p in path), 0, 0
+        for ch in "".join(t for t, _ in path) + " ":
+            k = int(NC.CLASS[ord(ch)]) if ord(ch) < 256 else 63
+            s += restore.model[(a << 6) | b][k]
+            a, b = b, k
+        return s
+
+    paths = [(value(p), "".join(t for t, _ in p)) for p in __import__("itertools").product(*restore.lattice(run))]
+    best = max(v for v, _ in paths)
+    assert any(abs(v - best) < 1e-9 and t == restore.viterbi(run) for v, t in paths)
 
 
 def test_toxicity_held_out(spark):
