@@ -46,6 +46,12 @@ def test_bpe_matches_the_library(spark):
     assert got == sorted(want(*r) for r in rows)
 
 
+def test_bpe_of_an_empty_table(spark):
+    public = pytest.importorskip("public_tokenizers")
+    df, path = docs(spark, []), public.path("word_bpe_49k.json")
+    assert bpe_trie.digest_documents(df, path).count() == bpe_trie.encode_documents(df, path).count() == 0
+
+
 # --- op6 ---------------------------------------------------------------------
 
 
@@ -193,6 +199,31 @@ def test_secrets(spark):
     assert clean[1] == 'x token = "[SECRET]" y' and clean[5] == "password:abcdef" and clean[4] is None
 
 
+@pytest.mark.parametrize("limits", [{}, {"max_owners": 2}, {"max_owners": 2, "max_repos": 3}])
+def test_ownership_against_counting_by_hand(spark, limits):
+    import re
+
+    rng = random.Random(6)
+    keys = ["".join(rng.choice("abcdefABCDEF0123456789") for _ in range(30)) for _ in range(150)]
+    rows = [(i % 170, f"r{rng.randrange(40)}", rng.choice(["o1", "o2", "o3", None]), " and ".join(f"{rng.choice(('token=', 'say ', 'passwd: '))}{k}" for k in rng.sample(keys, rng.randrange(4)))) for i in range(200)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, repo string, source string, text string, value string")
+    owners, repos = {}, {}
+    for _, repo, owner, text in rows:
+        for k in re.findall("[a-fA-F0-9]{30}", text):
+            owners.setdefault(k, set()).add(owner)
+            repos.setdefault(k, set()).add(repo)
+    live = {k for k in owners if len(owners[k]) <= limits.get("max_owners", 1) and len(repos[k]) <= limits.get("max_repos", 10**9)}
+    assert 0 < len(live) < len(owners)
+    got = sorted((r.doc_id, r.spans) for r in SO.digests(df, repo_col="repo", owner_col="source", **limits).collect())
+    want = []
+    for i, _, _, text in rows:
+        spans = [("assign", m.start(), m.end()) for m in re.finditer(r"(token|passwd)[=:] ?[a-fA-F0-9]{30}", text)] + [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]{24,}", text)]
+        spans += [("live", m.start(), m.end()) for m in re.finditer("[a-fA-F0-9]{30}", text) if m[0] in live]
+        want.append((i, ",".join(f"{k}:{a}:{b}" for k, a, b in sorted(spans, key=lambda s: (s[1], SO.KINDS.index(s[0]))))))
+    assert got == sorted(want)
+    assert SO.redact(df.limit(0)).count() == 0
+
+
 # --- op2 ---------------------------------------------------------------------
 
 
@@ -402,6 +433,37 @@ def test_url_rules(spark):
     assert "Python" not in queries.op5_url_rules(spark, SF)._jdf.queryExecution().toString()
 
 
+def test_tokens_are_read_off_the_patterns():
+    want = {
+        r"(^|[.])casino-win[.]": {("casino", "win")}, r"/(wp-admin|phpmyadmin)/": {("wp", "admin"), ("phpmyadmin",)}, r"^([^/]*[.])?example[.]com/en/7": {("example", "com", "en")},
+        r"a(b|c)d/x/": {("x",)}, r"/(a1/|b2/)+c$": {("c",)}, r"/x/(y/)?z/": {("x", "y", "z"), ("x", "z")}, r"/x[0-9]*/y/": {("y",), ("x", "y")}, "q": {()}, r"(?i)/Ab/": {("ab",)},
+    }
+    assert {p: set(url_rules.alternatives(p)) for p in want} == want
+
+
+def test_thousands_of_rules_against_running_all(spark):
+    import re
+
+    rng = random.Random(9)
+    word = lambda: rng.choice(["a", "b", "shop", "news", "x1", "admin", "wp", "en", "de", "7", "deep"])
+    host = lambda: ".".join(word() for _ in range(rng.randrange(1, 4)))
+    rules = [url_rules.host_rule(rng.choice(("block", "allow")), host() + rng.choice(("", "/", f"/{word()}", f"/{word()}/", f"/{word()}/{word()}"))) for _ in range(1500)]
+    shapes = (r"/{}/{}-[0-9]+/", r"(^|[.]){}[.]{}(/|$)", r"/({}|{}-{})/", r"[/-]{}(/{})?$", r"/{}[a-z]*/{}", r"({}|{})+/x")
+    rules += [url_rules.Rule(None, re.sub("[{][}]", lambda _: word(), rng.choice(shapes)), "block", 1) for _ in range(800)]
+    rules = list({r.pattern: r for r in rules}.values())
+    assert len({r.rank for r in rules}) < len(rules) > 1000
+    urls = [f"http://{host()}/" + "/".join(rng.choice((word(), word() + word(), f"{word()}-{rng.randrange(20)}")) for _ in range(rng.randrange(5))) + rng.choice(("", "/")) for _ in range(300)]
+    df = spark.createDataFrame([(i, u, "clash") for i, u in enumerate([*urls, *urls[:20], None, "x"])], "page_id long, url string, rule string")
+    got = {r.page_id: r for r in url_rules.judge(df, rules).collect()}
+    assert len(got) == 322 and url_rules.judge(df.limit(0), rules).count() == 0
+    for i, u in enumerate([*urls, *urls[:20]]):
+        subject = u.split("://")[1]
+        fit = [(r.rank, r.rule or "", r.verdict) for r in rules if re.search(r.pattern, subject)]
+        best = max(fit, default=None)
+        assert (got[i].rule or "", got[i].verdict) == (best[1:] if best else ("", "allow")), (u, best)
+    assert (got[320].verdict, got[321].verdict) == ("allow", "allow")
+
+
 # --- op7 ---------------------------------------------------------------------
 
 
