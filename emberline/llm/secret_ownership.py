@@ -6,10 +6,12 @@ tokens. The value of each candidate is hashed, and over the whole corpus the
 distinct repositories and owners that hold it are counted. A value that few owners
 hold is taken as a live-looking credential of theirs, a value that many hold as a
 copied example. Base spans are kept either way; a live value adds a span of kind
-``live`` over the value itself.
+``live`` over the value itself. How many owners decides; a bound on repositories is an option,
+as one owner may well use a credential of its own in many.
 
 Null texts count as empty. Offsets are code points, ends exclusive. A repository or
-owner that is null counts as one more. Rows alike in id and text give equal rows.
+owner that is null counts as one more. Rows alike in id and text give equal rows; an empty
+table gives none; other columns are ignored.
 Counting is by partial aggregates over (value, owner, repository), so a value that
 a third of all rows hold takes no more than its distinct pairs.
 """
@@ -90,14 +92,15 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("value").agg(F.count("*").alias("n_owners")).join(repos, "value")
 
 
-def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int = 3) -> DataFrame:
+def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo_col: str = "doc_id", owner_col: str = "source", max_owners: int = 1, max_repos: int | None = None) -> DataFrame:
     """Of each row: id, row (key of its text), base (kind, a, b) and live (a, b) spans.
 
-    A value is live if at most ``max_owners`` owners and ``max_repos`` repositories
+    A value is live if at most ``max_owners`` owners and, if given, ``max_repos`` repositories
     hold it. The scan runs once: its rows, which hold no text, are checkpointed.
     """
     found = cut(candidates(df, id_col, text_col, repo_col, owner_col))
-    live = ownership(found).where((F.col("n_owners") <= max_owners) & (F.col("n_repos") <= max_repos)).select("value")
+    few = F.col("n_owners") <= max_owners
+    live = ownership(found).where(few if max_repos is None else few & (F.col("n_repos") <= max_repos)).select("value")
     each = found.select("id", "row", F.explode("found").alias("f")).select("id", "row", "f.value", "f.a", "f.b")
     spans = each.join(live, "value", "left_semi").groupBy("id", "row").agg(F.collect_set(F.struct("a", "b")).alias("live"))
     out = found.select("id", "row", "base").alias("d").join(spans.alias("s"), F.col("d.id").eqNullSafe(F.col("s.id")) & (F.col("d.row") == F.col("s.row")), "left")
