@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from .. import config as C
 
 # Words that facility names are compared without.
-NAME_NOISE = "power thermal plant station ltd limited pvt private company co corp corporation the of india indian unit phase works steel refinery project".split()
+NAME_NOISE = (
+    "power", "thermal", "plant", "station", "ltd", "limited", "pvt", "private", "company", "co", "corp", "corporation",
+    "the", "of", "india", "indian", "unit", "phase", "works", "steel", "refinery", "project",
+)
 # Facility classes, the most specific first, with what names them.
 FTYPE_RANK = ("flare", "refinery", "steel", "smelter", "cement", "power_plant", "works", "industrial_area", "other")
 GENERIC_FTYPES = ("industrial_area", "works", "other")
@@ -113,6 +116,7 @@ def compatible(a: Column, b: Column) -> Column:
 
 def osm_ftype(tag) -> Column:
     """Facility class from OSM tags; ``tag`` gives the column of a key."""
+    # The words and tags of each class.
     words = F.lower(F.concat_ws(" ", *[F.coalesce(tag(k), F.lit("")) for k in ("product", "works", "industrial", "industry", "craft", "name")]))
 
     def has(*names: str) -> Column:
@@ -140,6 +144,7 @@ def _any(words: Column, names: tuple[str, ...]) -> Column:
 
 def gem_status(x: Column | str) -> Column:
     v = F.lower(F.trim(col(x)))
+    # The trackers' words for a status.
     return (
         F.when(v.isin("operating", "operating pre-retirement"), "operating").when(v == "construction", "construction")
         .when(v.isin("permitted", "pre-permit", "announced", "proposed", "shelved"), "announced")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
+from .graph import cut
+from .ranks import average_rank, quantiles  # noqa: F401
 
 
 def best_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -19,18 +21,36 @@ def archive_first(df: DataFrame, keys: list[str], archive: Column, ordinal: str)
     return best_per_key(df, keys, [archive.desc(), F.col(ordinal)])
 
 
+def confident(df: DataFrame) -> DataFrame:
+    return df.where(X.confidence_kept("confidence"))
+
+
+def best_of_cell_day(df: DataFrame, ordinal: str = "ord") -> DataFrame:
+    keys = [X.half_even("latitude", 2), X.half_even("longitude", 2), F.col("acq_date")]
+    return best_per_key(df, keys, [X.confidence_rank("confidence").desc(), F.col("frp").desc_nulls_last(), X.sensor_rank("source_sensor").desc(), F.col(ordinal)])
+
+
 def clean(df: DataFrame, ordinal: str = "ord") -> DataFrame:
     """Confident detections, the best of each cell and day."""
-    kept = df.where(X.confidence_kept("confidence"))
-    keys = [X.half_even("latitude", 2), X.half_even("longitude", 2), F.col("acq_date")]
-    return best_per_key(kept, keys, [X.confidence_rank("confidence").desc(), F.col("frp").desc_nulls_last(), X.sensor_rank("source_sensor").desc(), F.col(ordinal)])
+    return best_of_cell_day(confident(df), ordinal)
+
+
+def same(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
+    """``df`` with the statistics of its group; null keys are a group too."""
+    right = stats.withColumnsRenamed({k: f"_r{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_r{k}")) for k in keys]
+    return df.join(right, on, "left").drop(*[f"_r{k}" for k in keys])
 
 
 def background(df: DataFrame) -> DataFrame:
-    """bg5 and bg4: the lower quartile of the 11 um channel of each degree cell and time of day, else of the scene."""
-    w = Window.partitionBy(X.half_even("latitude"), X.half_even("longitude"), "daynight")
-    scene = df.agg(F.percentile("bt5", F.lit(0.25)).alias("_scene"))
-    out = df.crossJoin(F.broadcast(scene)).withColumn("bg5", F.coalesce(F.percentile("bt5", F.lit(0.25)).over(w), "_scene")).drop("_scene")
+    """bg5 and bg4: the lower quartile of the 11 um channel of each degree cell and time of day, else of the scene.
+
+    Cells are summed up and joined back: partial aggregates hold a busy cell's distinct values, no task its rows.
+    """
+    keyed = df.withColumns({"_bla": X.half_even("latitude"), "_blo": X.half_even("longitude")})
+    stats = keyed.groupBy("_bla", "_blo", "daynight").agg(F.percentile("bt5", F.lit(0.25)).alias("bg5"))
+    scene = quantiles(df, "bt5", {"_scene": 0.25})
+    out = same(keyed, stats, ["_bla", "_blo", "daynight"]).crossJoin(F.broadcast(scene)).withColumn("bg5", F.coalesce("bg5", "_scene")).drop("_scene", "_bla", "_blo")
     return out.withColumn("bg4", F.col("bg5") + F.when(F.col("daynight") == "D", C.BACKGROUND_OFFSET["D"]).otherwise(C.BACKGROUND_OFFSET["N"]))
 
 
@@ -92,7 +112,7 @@ def subpixel(df: DataFrame) -> DataFrame:
     saturated = F.coalesce(F.col("instrument").startswith("VIIRS") & (F.col("bt4") >= C.I4_SATURATION_K), F.lit(False))
     df = df.withColumns({
         "est_temp_k": F.when(ok, X.half_even("_t", 1)), "hot_fraction": F.when(ok, F.col("_p")), "pixel_area_m2": X.half_even(area, 1),
-        "est_area_m2": F.when(ok, X.half_even(F.col("_p") * area, 1)), "i4_saturated": saturated,
+        "est_area_m2": F.when(ok, X.half_even(F.col("_p") * area, 1)), "i4_saturated": saturated, "temp_is_lower_bound": saturated & ok,
         "retrieval_status": F.when(saturated, "saturated_lower_bound").otherwise(F.col("_status")),
     })
     return df.withColumn("temp_class", X.temperature_class("est_temp_k")).drop("_w4", "_w5", "_top4", "_m4", "_top5", "_m5", "_l4", "_g4", "_l5", "_g5", "_lo", "_early", "_flo", "_fhi", "_s", "_t", "_over", "_p", "_status")
@@ -112,7 +132,7 @@ def temporal_cells(df: DataFrame) -> DataFrame:
     span = df.agg(F.min("acq_date").alias("d0"), (F.datediff(F.max("acq_date"), F.min("acq_date")) + 1).alias("window"))
     keys = ["grid_lat", "grid_lon"]
     days = grid.crossJoin(F.broadcast(span)).groupBy(*keys, "window", F.datediff("acq_date", "d0").alias("day"))
-    days = days.agg(F.avg("frp").alias("frp"), F.count("*").alias("n"), F.sum((F.col("daynight") == "N").cast("int")).alias("nights"))
+    days = days.agg(F.avg("frp").alias("frp"), F.count("*").alias("n"), F.sum((F.upper("daynight") == "N").cast("int")).alias("nights"))
     w = Window.partitionBy(*keys).orderBy("day")
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
     all_ = Window.partitionBy(*keys)
@@ -134,7 +154,7 @@ def temporal_cells(df: DataFrame) -> DataFrame:
         (F.col("first") >= last_day - (tail(n, C.TAILS["new"]) - 1)).alias("new_source"),
         ((F.col("last") <= last_day - tail(n, C.TAILS["ceased"])) & (F.col("recurrence_days") >= 2)).alias("ceased_source"),
         ((F.coalesce(F.col("gap") - 1, F.lit(0)) >= tail(n, C.TAILS["reactivated"])) & (F.col("recurrence_days") >= 2)).alias("reactivated_source"),
-        X.clip(F.col("recurrence_days") / F.least(n, F.lit(C.PERSISTENCE_FULL_DAYS)), 0.0, 1.0).alias("persistence_norm"),
+        X.clip(F.col("recurrence_days") / F.least(n, F.lit(C.PERSISTENCE_FULL_DAYS)), 0.0, 1.0).alias("persistence_norm"), n.alias("observation_window_days"),
     )
 
 
@@ -143,24 +163,20 @@ def temporal(df: DataFrame) -> DataFrame:
     return with_grid(df).join(temporal_cells(df), ["grid_lat", "grid_lon"])
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of ``value`` over the number of rows that have one, from the table of its distinct values."""
-    table = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
-    ranged = table.withColumn("_below", F.sum("_n").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)))
-    total = table.agg(F.sum("_n").alias("_total"))
-    ranks = ranged.crossJoin(F.broadcast(total)).select(F.col(value).alias("_v"), ((F.coalesce("_below", F.lit(0)) + (F.col("_n") + 1) / 2) / F.col("_total")).alias(out))
-    return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
+def spread(df: DataFrame, keys: list[str], mid: str, size: str, mad: str) -> DataFrame:
+    """``df`` with the median of frp, the rows and the scaled median absolute deviation of its group."""
+    first = same(df, df.groupBy(*keys).agg(F.median("frp").alias(mid), F.count("*").alias(size)), keys)
+    return same(first, first.groupBy(*keys).agg((F.median(F.abs(F.col("frp") - F.col(mid))) * C.MAD_TO_SIGMA).alias(mad)), keys)
 
 
 def robust_baseline(df: DataFrame) -> DataFrame:
     """Robust z of frp against its cell, else region, else scene."""
     df = with_grid(df).withColumns({"_rla": X.half_even("latitude", 1), "_rlo": X.half_even("longitude", 1)})
-    cell, region = Window.partitionBy("grid_lat", "grid_lon"), Window.partitionBy("_rla", "_rlo")
-    df = df.withColumns({"_mc": F.median("frp").over(cell), "_mr": F.median("frp").over(region), "_nc": F.count("*").over(cell), "_nr": F.count("*").over(region)})
-    df = df.withColumns({"_sc": F.median(F.abs(F.col("frp") - F.col("_mc"))).over(cell) * C.MAD_TO_SIGMA, "_sr": F.median(F.abs(F.col("frp") - F.col("_mr"))).over(region) * C.MAD_TO_SIGMA})
-    mid = df.agg(F.median("frp").alias("_ms"))
-    scene = df.select("frp").crossJoin(F.broadcast(mid)).groupBy("_ms").agg((F.median(F.abs(F.col("frp") - F.col("_ms"))) * C.MAD_TO_SIGMA).alias("_ss"))
-    df = df.crossJoin(F.broadcast(scene))
+    df = spread(spread(df, ["grid_lat", "grid_lon"], "_mc", "_nc", "_sc"), ["_rla", "_rlo"], "_mr", "_nr", "_sr")
+    mid = cut(quantiles(df, "frp", {"_ms": 0.5}))
+    off = df.select("frp").crossJoin(F.broadcast(mid)).select(F.abs(F.col("frp") - F.col("_ms")).alias("_off"))
+    scene = quantiles(off, "_off", {"_ss": 0.5}).withColumn("_ss", F.col("_ss") * C.MAD_TO_SIGMA)
+    df = df.crossJoin(F.broadcast(mid)).crossJoin(F.broadcast(scene))
     level = F.when(F.col("_nc") >= C.MIN_SAMPLES, "cell").when(F.col("_nr") >= C.MIN_SAMPLES, "region").otherwise("scene")
     pick = lambda c, r, s: F.when(F.col("baseline_level") == "cell", F.col(c)).when(F.col("baseline_level") == "region", F.col(r)).otherwise(F.col(s))
     df = df.withColumn("baseline_level", level)

@@ -11,30 +11,42 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Checkpoint ``df`` in the shared folder of ``spark.checkpoint.dir`` and cut its lineage.
 
-    Only where that setting is missing (single-machine tests) a temporary folder is used.
+    Only a local master, whose executors share its disk, may go without that setting: a temporary folder is used.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint(eager=True)
 
 
+#: Parts that the edges of one node are dealt over where they meet its least neighbour.
+SALTS = 8
+
+
+def with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Edges (u, v) with the least neighbour m of u; a hub's edges lie in several tasks."""
+    salted = least.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).join(salted, ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and label (the least node of its component) of every node of an edge.
 
     Large-star and small-star contractions in turn until a round changes nothing
     (Kiveris et al., 2014); each round is checkpointed. A hub's edges meet only in
-    partial aggregates and in a join that Spark may split.
+    partial aggregates and in salted joins.
     """
     now = cut(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     state = None
     while True:
         around = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = around.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = around.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = with_least(around, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
+        small = with_least(large, least).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v")
         now = cut(small.distinct())
         seen = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if seen == state:

@@ -7,43 +7,94 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from .spatial import max_abs_lat, nearest, within
-
-
-def registry_distances(df: DataFrame, facilities: DataFrame) -> DataFrame:
-    """Distance to the nearest record of each registry, and the records within reach, for each detection."""
-    lat = max_abs_lat((df, "latitude"), (facilities, "lat"))
-    sites = facilities.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("source").alias("grp"), F.concat_ws(":", "source", "source_id").alias("ord"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.struct("name", "ftype", "status").alias("site"))
-    points = df.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon"))
-    near = nearest(points, sites).groupBy("plat", "plon").pivot("grp", list(C.SOURCES)).agg(F.first("km"))
-    near = near.select("plat", "plon", *[F.col(s).alias(f"_d_{s}") for s in C.SOURCES])
-    pairs = within(points.distinct().select(F.col("plat").alias("llat"), F.col("plon").alias("llon")), sites.select(F.col("slat").alias("rlat"), F.col("slon").alias("rlon"), "grp"), C.CORROBORATION_KM, lat)
-    counts = pairs.groupBy("llat", "llon").pivot("grp", list(C.SOURCES)).count().select(F.col("llat").alias("plat"), F.col("llon").alias("plon"), *[F.col(s).alias(f"_n_{s}") for s in C.SOURCES])
+from .spatial import nearest, within
+
+#: What a site tells of itself.
+SITE = {
+    "facility_uid": "string", "name": "string", "ftype": "string", "lat": "double", "lon": "double", "sources_present": "string", "source_agreement": "int",
+    "status": "string", "capacity_value": "double", "capacity_unit": "string", "subnational": "string",
+}
+# What a detection's surroundings are called, by distance to the nearest site.
+CONTEXTS = ("On a registered industrial site", "Within the site's immediate surroundings", "Near industrial activity", "No registered industrial site nearby")
+UNNAMED = "Unnamed industrial feature"
+# Classes and their captions.
+CLASSES = {
+    "persistent_industrial_source": "Persistent industrial source",
+    "industrial_fire": "Industrial fire",
+    "flare_signature": "Flare signature",
+    "agricultural_burning": "Agricultural burning",
+    "insufficient_evidence": "Insufficient evidence",
+}
+INDUSTRIAL = ("persistent_industrial_source", "industrial_fire", "flare_signature")
+
+
+def with_ordinal(facilities: DataFrame) -> DataFrame:
+    """Records with ord: their registry's place in SOURCES, then their id."""
+    place = F.coalesce(F.array_position(F.array(*map(F.lit, C.SOURCES)), F.col("source")), F.lit(9))
+    return facilities.withColumn("ord", F.concat_ws(":", place.cast("string"), F.lpad("source_id", 12, "0")))
+
+
+def sites_of(facilities: DataFrame) -> DataFrame:
+    """The site table of facility records."""
+    from .clusters import assign_sites, site_groups
+
+    return site_groups(assign_sites(with_ordinal(facilities)))
+
+
+def registry_distances(df: DataFrame, facilities: DataFrame, groups: DataFrame | None = None) -> DataFrame:
+    """Distance to the nearest record of each registry, and the records within reach, for each detection; and if ``groups`` are given, its nearest site (_km, _site). One search for all."""
+    placed = facilities.where("lat IS NOT NULL AND lon IS NOT NULL")
+    nothing = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in SITE.items()])
+    targets = placed.select(F.col("source").alias("grp"), F.concat_ws(":", "source", "source_id").alias("ord"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), nothing.alias("site"))
+    if groups is not None:
+        own = F.struct(*[(F.col(c).cast(t) if c in groups.columns else F.lit(None).cast(t)).alias(c) for c, t in SITE.items()])
+        targets = targets.unionByName(groups.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.lit("site").alias("grp"), F.col("facility_uid").alias("ord"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), own.alias("site")))
+    points = df.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).distinct()
+    near = nearest(points, targets).groupBy("plat", "plon").agg(
+        *[F.max(F.when(F.col("grp") == s, F.col("km"))).alias(f"_d_{s}") for s in C.SOURCES], F.max(F.when(F.col("grp") == "site", F.col("km"))).alias("_km"),
+        F.first(F.when(F.col("grp") == "site", F.col("site")), ignorenulls=True).alias("_site"),
+    )
+    pairs = within(points.select(F.col("plat").alias("llat"), F.col("plon").alias("llon")), placed.select(F.col("lat").alias("rlat"), F.col("lon").alias("rlon"), F.col("source").alias("grp")), C.CORROBORATION_KM)
+    counts = pairs.groupBy(F.col("llat").alias("plat"), F.col("llon").alias("plon")).agg(*[F.count_if(F.col("grp") == s).alias(f"_n_{s}") for s in C.SOURCES])
     both = near.join(counts, ["plat", "plon"], "left")
     out = df.join(both, (df["latitude"] == both["plat"]) & (df["longitude"] == both["plon"]), "left").drop("plat", "plon")
-    return out.withColumns({f"count_{s}_3km": F.coalesce(f"_n_{s}", F.lit(0)).cast("int") for s in C.SOURCES}).drop(*[f"_n_{s}" for s in C.SOURCES])
+    out = out.withColumns({f"count_{s}_3km": F.coalesce(f"_n_{s}", F.lit(0)).cast("int") for s in C.SOURCES}).drop(*[f"_n_{s}" for s in C.SOURCES])
+    return out if groups is not None else out.drop("_km", "_site")
+
 
+def corroborate(df: DataFrame, facilities: DataFrame, groups: DataFrame | None = None, sources: tuple[str, ...] | None = None) -> DataFrame:
+    """Votes of the registries, and the nearest site with what it tells of itself.
+
+    ``groups``: the site table; by default :func:`sites_of` the records. ``sources``: only
+    these registries, and sites that any of them lists.
+    """
+    from .clusters import assign_sites, of_sources, site_groups
+    from .graph import cut
 
-def corroborate(df: DataFrame, facilities: DataFrame, groups: DataFrame | None = None) -> DataFrame:
-    """Votes of the registries and the nearest site. ``groups``: site table (uid, name, ftype, lat, lon); by default each record is a site."""
-    loaded = facilities.select("source").distinct().agg(F.greatest(F.count("*"), F.lit(1)).alias("_loaded"))
-    df = registry_distances(df, facilities).crossJoin(F.broadcast(loaded))
+    if groups is None or sources is not None:
+        records = cut(assign_sites(with_ordinal(facilities)))
+        groups = cut(site_groups(records)) if groups is None else groups
+        if sources is not None:
+            facilities, groups = of_sources(records, groups, list(sources))
+    have = facilities.where("lat IS NOT NULL AND lon IS NOT NULL").agg(*[F.coalesce(F.bool_or(F.col("source") == s), F.lit(False)).alias(s) for s in C.SOURCES])
+    loaded = have.select(F.array_compact(F.array(*[F.when(F.col(s), s) for s in C.SOURCES])).alias("_loaded")).crossJoin(groups.agg(F.count("*").alias("registry_sites")))
+    df = registry_distances(df, facilities, groups).crossJoin(F.broadcast(loaded))
     vote = lambda d: F.when(d <= C.ONSITE_KM, 1.0).when(d <= C.CORROBORATION_KM, 0.6).otherwise(0.0)
     total = sum((vote(F.col(f"_d_{s}")) for s in C.SOURCES), F.lit(0.0))
     names = F.array_compact(F.array(*[F.when(F.col(f"_d_{s}") <= C.CORROBORATION_KM, s) for s in C.SOURCES]))
-    df = df.withColumns({"corroboration_score": X.half_even(X.clip(total / F.col("_loaded"), 0.0, 1.0), 4), "sources_confirming": F.array_join(names, "|"), "confirming_count": F.size(names)})
+    df = df.withColumns({
+        "corroboration_score": X.half_even(X.clip(total / F.greatest(F.size("_loaded"), F.lit(1)), 0.0, 1.0), 4), "sources_loaded": F.array_join("_loaded", "|"), "_many": F.size("_loaded"),
+        "sources_confirming": F.array_join(names, "|"), "confirming_count": F.size(names),
+    })
     df = df.withColumns({f"dist_{s}_km": X.half_even(f"_d_{s}", 3) for s in C.SOURCES}).drop("_loaded", *[f"_d_{s}" for s in C.SOURCES])
-    if groups is None:
-        groups = facilities.select(F.concat_ws(":", "source", "source_id").alias("facility_uid"), "name", "ftype", "lat", "lon")
-    sites = groups.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.lit("site").alias("grp"), F.col("facility_uid").alias("ord"), F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.struct("facility_uid", "name", "ftype").alias("site"))
-    near = nearest(df.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")), sites)
-    out = df.join(near.drop("grp"), (df["latitude"] == near["plat"]) & (df["longitude"] == near["plon"]), "left").drop("plat", "plon")
-    out = out.withColumns({
-        "dist_to_industrial_km": F.coalesce(X.half_even("km", 3), F.lit(float("inf"))), "facility_uid": F.col("site.facility_uid"),
-        "facility_name": F.coalesce(F.nullif(F.trim("site.name"), F.lit("")), F.lit("Unnamed industrial feature")), "facility_type": F.col("site.ftype"),
-    }).drop("km", "site")
-    d = F.col("dist_to_industrial_km")
-    return out.withColumn("industrial_context", F.when(d <= C.ONSITE_KM, "on_site").when(d <= C.CORROBORATION_KM, "near").when(d <= C.FAR_KM, "vicinity").otherwise("none"))
+    told = lambda c, blank=None: F.coalesce(F.col(f"_site.{c}"), F.lit(blank)) if blank is not None else F.col(f"_site.{c}")
+    d = F.coalesce(X.half_even("_km", 3), F.lit(float("inf")))
+    return df.withColumns({
+        "dist_to_industrial_km": d, "facility_uid": told("facility_uid", ""), "facility_name": F.coalesce(F.when(F.trim("_site.name") != "", F.col("_site.name")), F.lit(UNNAMED)),
+        "facility_type": told("ftype", ""), "facility_lat": told("lat"), "facility_lon": told("lon"), "facility_sources": told("sources_present", ""), "facility_source_agreement": told("source_agreement", 0),
+        "facility_status": told("status", ""), "facility_capacity_value": told("capacity_value"), "facility_capacity_unit": told("capacity_unit", ""), "facility_subnational": told("subnational", ""),
+        "industrial_context": F.when(d <= C.ONSITE_KM, CONTEXTS[0]).when(d <= C.CORROBORATION_KM, CONTEXTS[1]).when(d <= C.FAR_KM, CONTEXTS[2]).otherwise(CONTEXTS[3]),
+    }).withColumnRenamed("_many", "loaded_count").drop("_km", "_site")
 
 
 def evidence(df: DataFrame) -> DataFrame:
@@ -73,12 +124,13 @@ def classify(df: DataFrame) -> DataFrame:
     corroborated = F.col("confirming_count") > 0
     far = ~corroborated & (F.col("dist_to_industrial_km") > C.FAR_KM)
     label = (
-        F.when(far & F.col("agri_season_context"), "agricultural").when(far, "insufficient_evidence").when(F.col("agri_penalty"), "agricultural")
-        .when((F.col("temp_class") == "flare_like") & (F.col("recurrence_days") >= 2) & corroborated, "flare")
-        .when((F.col("fusion_score") >= C.PERSISTENT_AT) & (F.col("recurrence_days") >= 3), "persistent_industrial")
+        F.when(far & F.col("agri_season_context"), "agricultural_burning").when(far, "insufficient_evidence").when(F.col("agri_penalty"), "agricultural_burning")
+        .when((F.col("temp_class") == "flare_like") & (F.col("recurrence_days") >= 2) & corroborated, "flare_signature")
+        .when((F.col("fusion_score") >= C.PERSISTENT_AT) & (F.col("recurrence_days") >= 3), "persistent_industrial_source")
         .when(F.col("fusion_score") >= C.INDUSTRIAL_AT, "industrial_fire").otherwise("insufficient_evidence")
     )
-    df = df.withColumn("label", label)
+    caption = F.create_map(*[F.lit(x) for pair in CLASSES.items() for x in pair])
+    df = df.withColumn("label", label).withColumn("label_display", caption[F.col("label")])
     return df.withColumn("evidence_level", F.when(F.col("label") != "insufficient_evidence", X.evidence_band("evidence_score")))
 
 
@@ -88,36 +140,51 @@ def weak_labels(df: DataFrame) -> DataFrame:
     return df.withColumn("weak_label", F.when(on_site, 1).when(none, 0))
 
 
+PART = "key string, label string, value double, weight double, contribution double, detail string"
+
+
 def explain(df: DataFrame) -> DataFrame:
     """contributions: JSON array of what made the evidence score, the largest first."""
     w = C.EVIDENCE_WEIGHTS
+    number = lambda c, n=0: F.coalesce(F.format_string(f"%.{n}f", X.half_even(c, n)), F.lit("nan"))
+    retrieved = F.concat(F.lit("retrieved "), number(F.col("est_temp_k")), F.lit(" K ("), F.replace(F.col("temp_class"), F.lit("_"), F.lit(" ")), F.lit(")"))
+    # Captions of the parts and the form of their details.
     details = {
-        "corroboration": ("corroboration_score", "Registry corroboration", F.format_string("%d registries confirm", "confirming_count")),
-        "physics": ("physics_score", "Fire temperature", F.concat(F.lit("regime "), F.col("temp_class"))),
-        "persistence": ("persistence_norm", "Persistence", F.format_string("seen on %d days", "recurrence_days")),
-        "nocturnal": ("nocturnal_score", "Night activity", F.format_string("%d%% at night", F.rint(F.col("nocturnal_score") * 100).cast("int"))),
-        "intensity": ("frp_intensity_norm", "Radiative power", F.format_string("%dth percentile", F.rint(F.col("frp_intensity_norm") * 100).cast("int"))),
+        "corroboration": ("corroboration_score", "Registry corroboration", F.format_string("%d of %d registries place infrastructure within 3 km", "confirming_count", "loaded_count")),
+        "physics": ("physics_score", "Combustion temperature", F.when(F.col("est_temp_k").isNotNull(), retrieved).otherwise("temperature retrieval unavailable")),
+        "persistence": ("persistence_norm", "Repeat detections", F.format_string("seen on %d separate days", "recurrence_days")),
+        "nocturnal": ("nocturnal_score", "Burns at night", F.concat(number(F.col("night_fraction") * 100), F.lit("% of detections at night"))),
+        "intensity": ("frp_intensity_norm", "Thermal intensity", F.concat(F.lit("FRP "), number(F.col("frp"), 1), F.lit(" MW, "), number(F.col("frp_intensity_norm") * 100), F.lit("th percentile"))),
     }
 
     def part(key, label, value, weight, contribution, detail):
         return F.struct(F.lit(key).alias("key"), F.lit(label).alias("label"), value.alias("value"), F.lit(weight).alias("weight"), contribution.alias("contribution"), detail.alias("detail"))
 
     parts = [part(k, label, X.half_even(c, 3), w[k], X.half_even(F.col(c) * w[k], 4), text) for k, (c, label, text) in details.items()]
-    penalty = part("agri_penalty", "Crop-burning season", F.lit(1.0), -0.45, X.half_even(F.col("evidence_score") * -0.45, 4), F.coalesce("agri_season_region", F.lit("")))
-    every = F.concat(F.array(*parts), F.when(F.col("agri_penalty"), F.array(penalty)).otherwise(F.array().cast("array<struct<key:string,label:string,value:double,weight:double,contribution:double,detail:string>>")))
+    season = F.concat(F.lit("inside "), F.coalesce("agri_season_region", F.lit("")), F.lit(" during its burning window"))
+    penalty = part("agri_penalty", "Crop-burning season", F.lit(1.0), -0.45, X.half_even(F.col("evidence_score") * -0.45, 4), season)
+    every = F.concat(F.array(*parts), F.when(F.col("agri_penalty"), F.array(penalty)).otherwise(F.array().cast(f"array<struct<{PART.replace(', ', ',').replace(' ', ':')}>>")))
     numbered = F.transform(every, lambda x, i: F.struct((-F.abs(x["contribution"])).alias("by"), i.alias("i"), x.alias("x")))
     return df.withColumn("contributions", F.to_json(F.transform(F.array_sort(numbered), lambda s: s["x"])))
 
 
-def score_all(df: DataFrame, facilities: DataFrame, ordinal: str = "ord") -> DataFrame:
-    """Every stage from raw detections to explained classes, without model scores."""
+def score_all(df: DataFrame, facilities: DataFrame, ordinal: str = "ord", boundary: DataFrame | None = None, sources: tuple[str, ...] | None = None, models=None) -> DataFrame:
+    """Every stage from raw detections to explained classes.
+
+    ``boundary``: edges that detections must lie inside, before the best of a cell and day
+    is taken; without it there is no clip. ``models`` adds ml_probability and unsupervised_score to the frame;
+    without it both are null, and the evidence takes their weight.
+    """
     from . import detections as D
     from .graph import cut
+    from .spatial import inside_polygon
 
-    rows = cut(D.clean(df, ordinal))
-    near = corroborate(rows.select(ordinal, "latitude", "longitude"), facilities).drop("latitude", "longitude")
+    df = D.confident(df)
+    rows = cut(D.best_of_cell_day(df if boundary is None else inside_polygon(df, boundary), ordinal))
+    near = corroborate(rows.select(ordinal, "latitude", "longitude"), facilities, sources=sources).drop("latitude", "longitude")
     out = D.season(D.robust_baseline(D.temporal(D.subpixel(D.background(rows)))))
-    out = D.average_rank(out, "frp", "frp_intensity_norm").withColumn("nocturnal_score", F.col("night_fraction"))
+    out = D.average_rank(out, "frp", "frp_intensity_norm").withColumn("nocturnal_score", X.clip("night_fraction", 0.0, 1.0))
     # the stages so far are cut once; what follows reads them twice
-    out = cut(evidence(out.join(near, ordinal))).withColumns({"ml_probability": F.lit(None).cast("double"), "unsupervised_score": F.lit(None).cast("double")})
+    out = cut(evidence(out.join(near, ordinal)))
+    out = out.withColumns({"ml_probability": F.lit(None).cast("double"), "unsupervised_score": F.lit(None).cast("double")}) if models is None else models(out)
     return explain(classify(fuse(out)))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..functions.exprs import haversine_km
+from .graph import cut
 
 KM_PER_DEGREE = 111.195
 #: Cells that nearest neighbours are narrowed down by: shifts from the finest (1/64 degree) to 8, 1, 1/8 and 1/64 degrees.
@@ -15,31 +17,42 @@ LEVELS = (9, 6, 3, 0)
 FINEST = 64
 
 
-def cell(x: str, size: float):
-    return F.floor(F.col(x) / size).cast("long")
+def columns_of(row: Column, km: float) -> Column:
+    """How many cells go round the earth in a row of cells, each at least ``km`` wide as far as the next row goes."""
+    height = km / KM_PER_DEGREE
+    edge = F.least(F.lit(89.999), F.greatest(F.abs(row * height), F.abs((row + 1) * height)) + height)
+    width = F.degrees(2 * F.asin(F.least(F.lit(1.0), math.sin(km / 2 / C.EARTH_KM) / F.cos(F.radians(edge)))))
+    return F.greatest(F.lit(1), F.floor(360 / width * (1 - 1e-9))).cast("long")
 
 
-def around(df: DataFrame, size: float, lat: str, lon: str) -> DataFrame:
-    """Each row once for its cell and each of the eight around it (columns cy, cx)."""
-    steps = F.array(*[F.lit(d) for d in (-1, 0, 1)])
-    return df.withColumn("dy", F.explode(steps)).withColumn("dx", F.explode(steps)).withColumns({"cy": cell(lat, size) + F.col("dy"), "cx": cell(lon, size) + F.col("dx")}).drop("dy", "dx")
+def row_of(lat: str | Column, km: float) -> Column:
+    return F.floor((F.col(lat) if isinstance(lat, str) else lat) * (KM_PER_DEGREE / km)).cast("long")
 
 
-def bucket_degrees(km: float, max_lat: float) -> float:
-    return km / (KM_PER_DEGREE * max(0.01, math.cos(math.radians(min(89.0, max_lat + 1)))))
+def column_of(lon: str, row: Column, km: float) -> Column:
+    many = columns_of(row, km)
+    return F.pmod(F.floor((F.col(lon) + 180) / 360 * many).cast("long"), many)
 
 
-def max_abs_lat(*frames: tuple[DataFrame, str]) -> float:
-    return max([0.0, *(r for df, lat in frames if (r := df.agg(F.max(F.abs(lat))).first()[0]) is not None)])
+def in_cell(df: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
+    """Each row with its cell (columns cy, cx). Cells of a row of them go round the earth; their number follows the latitude."""
+    return df.withColumn("cy", row_of(lat, km)).withColumn("cx", column_of(lon, F.col("cy"), km))
 
 
-def within(left: DataFrame, right: DataFrame, km: float, max_lat: float) -> DataFrame:
-    """Pairs at most ``km`` apart, with km. ``left``: (llat, llon, ...), ``right``: (rlat, rlon, ...).
+def around(df: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
+    """Each row once for every cell that may hold something within ``km`` of it: its own and the neighbours in three rows."""
+    rows = df.withColumn("cy", F.explode(F.array(*[row_of(lat, km) + d for d in (-1, 0, 1)])))
+    own, many = column_of(lon, F.col("cy"), km), columns_of(F.col("cy"), km)
+    return rows.withColumn("cx", F.explode(F.array_distinct(F.array(*[F.pmod(own + d, many) for d in (-1, 0, 1)]))))
 
-    The right side is copied to nine cells and met by an equi-join; the exact test follows.
+
+def within(left: DataFrame, right: DataFrame, km: float, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs at most ``km`` apart that agree in ``keys``, with km. ``left``: (llat, llon, ...), ``right``: (rlat, rlon, ...).
+
+    The right side is copied to the cells around and met by an equi-join; the exact test
+    follows. Pairs across the date line and near the poles are found.
     """
-    size = bucket_degrees(km, max_lat)
-    met = left.withColumns({"cy": cell("llat", size), "cx": cell("llon", size)}).join(around(right, size, "rlat", "rlon"), ["cy", "cx"])
+    met = in_cell(left, km, "llat", "llon").join(around(right, km, "rlat", "rlon"), ["cy", "cx", *keys])
     return met.withColumn("km", haversine_km("llat", "llon", "rlat", "rlon")).where(F.col("km") <= km).drop("cy", "cx")
 
 
@@ -65,12 +78,13 @@ def nearest(points: DataFrame, sites: DataFrame) -> DataFrame:
     smaller ord. Branch and bound over cells: no point of a cell lies farther from its
     middle than a radius, so a cell of sites whose middle is farther than the nearest
     one's by four radii cannot hold the nearest site. What is left at one level is
-    narrowed at the next; the coarsest has at most some thousand cells, whatever the data.
+    narrowed at the next; the coarsest has at most some thousand cells, whatever the data, and
+    its pairs, one join on a constant, are few. Points, sites and their cells are written once.
     """
-    places = cells_of(points.select("plat", "plon").distinct().where("plat IS NOT NULL AND plon IS NOT NULL"), "plat", "plon", "p")
-    targets = cells_of(sites, "slat", "slon", "s")
-    ours = places.select(*[f"p{k}" for k in LEVELS]).distinct()
-    theirs = targets.select("grp", *[f"s{k}" for k in LEVELS]).distinct()
+    places = cut(cells_of(points.select("plat", "plon").distinct().where("plat IS NOT NULL AND plon IS NOT NULL"), "plat", "plon", "p"))
+    targets = cut(cells_of(sites, "slat", "slon", "s"))
+    ours = cut(places.select(*[f"p{k}" for k in LEVELS]).distinct())
+    theirs = cut(targets.select("grp", *[f"s{k}" for k in LEVELS]).distinct())
     left = None
     for i, k in enumerate(LEVELS):
         p = ours.select(*[f"p{j}" for j in LEVELS[max(0, i - 1) : i + 1]]).distinct()
@@ -94,18 +108,73 @@ def polygon_edges(rings: list[list[list[tuple[float, float]]]]) -> list[tuple[fl
     return [(*a, *b) for polygon in rings for ring in polygon for a, b in zip(ring, ring[1:] + ring[:1]) if a != b]
 
 
-def inside_polygon(df: DataFrame, edges: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
-    """Rows of ``df`` strictly inside. ``edges``: x1, y1, x2, y2 of one boundary, whose size is fixed.
+def inside_polygon(df: DataFrame, edges: DataFrame, lat: str = "latitude", lon: str = "longitude", strip: float = 0.1) -> DataFrame:
+    """Rows of ``df`` strictly inside. ``edges``: x1, y1, x2, y2 of one boundary.
 
-    Distinct places are tested by ray casting: odd crossings, and on no edge.
+    Distinct places are tested by ray casting: odd crossings, and on no edge. Edges are filed under
+    the strips of latitude that they cross, so a place meets those of its own strip only.
     """
     x, y = F.col("px"), F.col("py")
-    places = df.select(F.col(lon).alias("px"), F.col(lat).alias("py")).where("px IS NOT NULL AND py IS NOT NULL").distinct()
-    box = edges.agg(F.min(F.least("x1", "x2")).alias("w"), F.max(F.greatest("x1", "x2")).alias("e"), F.min(F.least("y1", "y2")).alias("s"), F.max(F.greatest("y1", "y2")).alias("n"))
-    places = places.join(F.broadcast(box), (x >= F.col("w")) & (x <= F.col("e")) & (y >= F.col("s")) & (y <= F.col("n"))).select("px", "py")
+    at = lambda c: F.floor(c / strip).cast("long")
+    places = df.select(F.col(lon).alias("px"), F.col(lat).alias("py")).where("px IS NOT NULL AND py IS NOT NULL").distinct().withColumn("strip", at(y))
+    filed = edges.withColumn("strip", F.explode(F.sequence(at(F.least("y1", "y2")), at(F.greatest("y1", "y2")))))
     crosses = ((F.col("y1") > y) != (F.col("y2") > y)) & (x < (F.col("x2") - F.col("x1")) * (y - F.col("y1")) / F.nullif(F.col("y2") - F.col("y1"), F.lit(0.0)) + F.col("x1"))
     turn = (F.col("x2") - F.col("x1")) * (y - F.col("y1")) - (F.col("y2") - F.col("y1")) * (x - F.col("x1"))
     on = (turn == 0) & x.between(F.least("x1", "x2"), F.greatest("x1", "x2")) & y.between(F.least("y1", "y2"), F.greatest("y1", "y2"))
-    count = places.join(F.broadcast(edges)).groupBy("px", "py").agg(F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("c"), F.max(on.cast("int")).alias("on"))
+    count = places.join(filed, "strip").groupBy("px", "py").agg(F.sum(F.coalesce(crosses, F.lit(False)).cast("int")).alias("c"), F.max(on.cast("int")).alias("on"))
     good = count.where((F.col("c") % 2 == 1) & (F.col("on") == 0)).select(F.col("px").alias(lon), F.col("py").alias(lat))
     return df.join(good, [lon, lat], "left_semi")
+
+
+def simplify(points: list[tuple[float, float]], tolerance: float) -> list[tuple[float, float]]:
+    """A ring without the points that lie within ``tolerance`` of what is kept (Douglas and Peucker); at least a triangle stays."""
+    ring = points[:-1] if len(points) > 1 and points[0] == points[-1] else list(points)
+    if len(ring) < 4:
+        return ring
+
+    def off(p, a, b):
+        (px, py), (ax, ay), (bx, by) = p, a, b
+        dx, dy = bx - ax, by - ay
+        t = 0.0 if not (dx or dy) else max(0.0, min(1.0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy)))
+        return math.hypot(px - ax - t * dx, py - ay - t * dy)
+
+    far = max(range(len(ring)), key=lambda i: (math.dist(ring[0], ring[i]), -i))
+    kept, todo = {0, far}, [(0, far), (far, len(ring))]
+    closed = [*ring, ring[0]]
+    while todo:
+        a, b = todo.pop()
+        if b - a < 2:
+            continue
+        worst = max(range(a + 1, b), key=lambda i: (off(closed[i], closed[a], closed[b]), -i))
+        if off(closed[worst], closed[a], closed[b]) > tolerance:
+            kept.add(worst)
+            todo += [(a, worst), (worst, b)]
+    if len(kept) < 3:
+        kept.add(max((i for i in range(len(ring)) if i not in kept), key=lambda i: (off(ring[i], ring[0], ring[far]), -i)))
+    return [ring[i] for i in sorted(kept)]
+
+
+def dissolve(polygons: list[list[tuple[float, float]]]) -> list[list[tuple[float, float]]]:
+    """Rings of the union of polygons that share whole edges (as states of a country do): edges passed both ways cancel."""
+    edges = {}
+    for ring in polygons:
+        area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))
+        turned = ring if area > 0 else ring[::-1]
+        for a, b in zip(turned, turned[1:] + turned[:1]):
+            if a != b:
+                if edges.get((b, a), 0):
+                    edges[(b, a)] -= 1
+                else:
+                    edges[(a, b)] = edges.get((a, b), 0) + 1
+    after: dict = {}
+    for (a, b), n in sorted(edges.items()):
+        after.setdefault(a, []).extend([b] * n)
+    rings = []
+    for start in sorted(after):
+        while after.get(start):
+            ring, here = [], start
+            while after.get(here):
+                ring.append(here)
+                here = after[here].pop()
+            rings.append(ring)
+    return rings

@@ -95,22 +95,35 @@ STAGES: dict[str, str] = {
         SELECT *, CASE WHEN nc >= 4 THEN 'cell' WHEN nr >= 4 THEN 'region' ELSE 'scene' END AS baseline_level, CASE WHEN nc >= 4 THEN mc WHEN nr >= 4 THEN mr ELSE ms END AS baseline_frp, CASE WHEN nc >= 4 THEN sc WHEN nr >= 4 THEN sr ELSE ss END AS sd FROM base2))""",
     "inten": "SELECT ord, (rank() OVER (ORDER BY frp) + (count(*) OVER (PARTITION BY frp) - 1) / 2) / count(frp) OVER () AS frp_intensity_norm FROM clean WHERE frp IS NOT NULL",
     "places": "SELECT DISTINCT latitude, longitude FROM clean",
-    "dist": f"SELECT latitude, longitude, source, source || ':' || source_id AS uid, name, ftype, {km('latitude', 'longitude', 'lat', 'lon')} AS d FROM places, fac",
-    "near": f"SELECT latitude, longitude, {nearest_cols()}, min(d) AS d, min_by(struct_pack(uid := uid, name := name, ftype := ftype), struct_pack(d := d, uid := uid)) AS site FROM dist GROUP BY ALL",
-    "reg": f"""SELECT *, list_aggregate(names, 'string_agg', '|') AS sc, len(names)::INT AS confirming_count, CASE WHEN di <= 1 THEN 'on_site' WHEN di <= 3 THEN 'near' WHEN di <= 10 THEN 'vicinity' ELSE 'none' END AS industrial_context FROM (
-        SELECT *, {he('least(1.0, (' + VOTES + ') / (SELECT count(DISTINCT source) FROM fac))', 4)} AS corroboration_score, list_filter([{NAMES}], lambda x: x IS NOT NULL) AS names, {he('d', 3)} AS di FROM near)""",
+    "rec": """SELECT *, CASE source WHEN 'osm' THEN '1' WHEN 'wri' THEN '2' WHEN 'gem' THEN '3' ELSE '4' END || ':' || lpad(source_id, 12, '0') AS o,
+        trim(regexp_replace(regexp_replace(regexp_replace(lower(name), '[^a-z0-9 ]+', ' ', 'g'), '\\b(power|thermal|plant|station|ltd|limited|pvt|private|company|co|corp|corporation|the|of|india|indian|unit|phase|works|steel|refinery|project)\\b', ' ', 'g'), ' +', ' ', 'g')) AS plain FROM fac""",
+    "recpairs": f"""SELECT x, y FROM (SELECT a.o AS x, b.o AS y, a.plain AS p, b.plain AS q, {km('a.lat', 'a.lon', 'b.lat', 'b.lon')} AS d FROM rec a JOIN rec b ON a.o < b.o AND abs(a.lat - b.lat) < 0.05 AND abs(a.lon - b.lon) < 0.06
+        WHERE a.ftype = b.ftype OR a.ftype IN ('industrial_area', 'works', 'other') OR b.ftype IN ('industrial_area', 'works', 'other')) WHERE d <= 1.5 OR d <= 5.0 AND p <> '' AND p = q""",
+    "reclinks": "SELECT x, y FROM recpairs UNION ALL SELECT y, x FROM recpairs",
+    "recreach": "SELECT o AS node, o AS root FROM rec UNION SELECT l.y, r.root FROM recreach r JOIN reclinks l ON l.x = r.node AND r.root < l.y",
+    "recsite": "SELECT o, 'F' || lpad((dense_rank() OVER (ORDER BY root) - 1)::VARCHAR, 5, '0') AS uid FROM (SELECT node AS o, min(root) AS root FROM recreach GROUP BY node)",
+    "site": """SELECT uid, avg(lat) AS lat, avg(lon) AS lon, string_agg(DISTINCT source, '|' ORDER BY source) AS sources_present, count(DISTINCT source)::INT AS source_agreement, count(*)::INT AS record_count,
+        CASE WHEN bool_or(status = 'operating') THEN 'operating' ELSE arg_min(status, o) END AS status, coalesce(sum(capacity_value) FILTER (capacity_unit = 'MW'), max(capacity_value) FILTER (capacity_unit = 'ttpa')) AS capacity_value,
+        CASE WHEN count(capacity_value) FILTER (capacity_unit = 'MW') > 0 THEN 'MW' WHEN count(capacity_value) FILTER (capacity_unit = 'ttpa') > 0 THEN 'ttpa' ELSE '' END AS capacity_unit,
+        arg_min(ftype, struct_pack(r := CASE ftype WHEN 'flare' THEN 0 WHEN 'refinery' THEN 1 WHEN 'steel' THEN 2 WHEN 'smelter' THEN 3 WHEN 'cement' THEN 4 WHEN 'power_plant' THEN 5 WHEN 'works' THEN 6 WHEN 'industrial_area' THEN 7 WHEN 'other' THEN 8 ELSE 9 END, o := o)) AS ftype,
+        coalesce(arg_min(name, struct_pack(s := source = 'osm', o := o)) FILTER (trim(name) <> ''), '') AS name, coalesce(arg_min(subnational, o) FILTER (trim(subnational) <> ''), '') AS subnational FROM rec JOIN recsite USING (o) GROUP BY uid""",
+    "dist": f"SELECT latitude, longitude, source, {km('latitude', 'longitude', 'lat', 'lon')} AS d FROM places, fac",
+    "near": f"SELECT latitude, longitude, {nearest_cols()}, min(d) AS d FROM dist GROUP BY ALL",
+    "nearsite": f"SELECT latitude, longitude, min(d) AS ds, arg_min(s, struct_pack(d := d, uid := s.uid)) AS site FROM (SELECT latitude, longitude, site AS s, {km('latitude', 'longitude', 'site.lat', 'site.lon')} AS d FROM places, site) GROUP BY ALL",
+    "reg": f"""SELECT *, list_aggregate(names, 'string_agg', '|') AS sc, len(names)::INT AS confirming_count, CASE WHEN di <= 1 THEN 'On a registered industrial site' WHEN di <= 3 THEN 'Within the site''s immediate surroundings' WHEN di <= 10 THEN 'Near industrial activity' ELSE 'No registered industrial site nearby' END AS industrial_context FROM (
+        SELECT *, {he('least(1.0, (' + VOTES + ') / (SELECT count(DISTINCT source) FROM fac))', 4)} AS corroboration_score, list_filter([{NAMES}], lambda x: x IS NOT NULL) AS names, {he('ds', 3)} AS di FROM near JOIN nearsite USING (latitude, longitude))""",
     "evid": f"""SELECT *, {he(clip('CASE WHEN agri_penalty THEN raw * 0.55 ELSE raw END'), 4)} AS evidence_score FROM (
       SELECT *, {W['corroboration']} * corroboration_score + {W['physics']} * physics_score + {W['persistence']} * persistence_norm + {W['nocturnal']} * nocturnal_score + {W['intensity']} * frp_intensity_norm AS raw,
         coalesce(agri_season_region IS NOT NULL AND temp_class IN ('biomass_like', 'smouldering', 'unknown') AND corroboration_score < 0.3, false) AS agri_penalty FROM (
       SELECT p.*, c.* EXCLUDE (grid_lat, grid_lon), b.abnormality, b.frp_robust_z, i.frp_intensity_norm, c.night_fraction AS nocturnal_score, r.corroboration_score, coalesce(r.sc, '') AS sources_confirming, r.confirming_count, r.di AS dist_to_industrial_km, r.industrial_context, r.site.uid AS facility_uid,
-        coalesce(nullif(trim(r.site.name), ''), 'Unnamed industrial feature') AS facility_name, {season('p.acq_date', 'p.')} AS agri_season_region, coalesce({he(clip('(p.est_temp_k - 800) / 700'), 4)}, 0.25) AS physics_score
+        coalesce(CASE WHEN trim(r.site.name) <> '' THEN r.site.name END, 'Unnamed industrial feature') AS facility_name, r.site.ftype AS facility_type, r.site AS site, r.n_osm, r.n_wri, r.n_gem, r.n_eog, r.d_osm, r.d_wri, r.d_gem, r.d_eog, {season('p.acq_date', 'p.')} AS agri_season_region, coalesce({he(clip('(p.est_temp_k - 800) / 700'), 4)}, 0.25) AS physics_score
       FROM phys p JOIN cells c ON {he('p.latitude', 2)} = c.grid_lat AND {he('p.longitude', 2)} = c.grid_lon JOIN base b USING (ord) LEFT JOIN inten i USING (ord) JOIN reg r ON p.latitude = r.latitude AND p.longitude = r.longitude))""",
     "fused": f"""SELECT *, CASE WHEN risk_score <= 0.35 THEN 'Low' WHEN risk_score <= 0.55 THEN 'Moderate' WHEN risk_score <= 0.75 THEN 'High' ELSE 'Critical' END AS priority FROM (
       SELECT *, {he(clip(f"{P['probability']} * fusion_score + {P['abnormality']} * abnormality + {P['persistence']} * persistence_norm + {P['intensity']} * frp_intensity_norm + {P['new']} * new_source::INT"), 4)} AS risk_score FROM (
       SELECT *, {he(clip('(0.55 * evidence_score) / 0.55'), 4)} AS fusion_score FROM evid))""",
     "classed": """SELECT *, CASE WHEN label = 'insufficient_evidence' THEN NULL WHEN evidence_score <= 0.4 THEN 'Low' WHEN evidence_score <= 0.7 THEN 'Moderate' ELSE 'High' END AS evidence_level FROM (
-      SELECT *, CASE WHEN confirming_count = 0 AND dist_to_industrial_km > 10 AND agri_season_region IS NOT NULL THEN 'agricultural' WHEN confirming_count = 0 AND dist_to_industrial_km > 10 THEN 'insufficient_evidence' WHEN agri_penalty THEN 'agricultural'
-        WHEN temp_class = 'flare_like' AND recurrence_days >= 2 AND confirming_count > 0 THEN 'flare' WHEN fusion_score >= 0.62 AND recurrence_days >= 3 THEN 'persistent_industrial' WHEN fusion_score >= 0.42 THEN 'industrial_fire' ELSE 'insufficient_evidence' END AS label FROM fused)""",
+      SELECT *, CASE WHEN confirming_count = 0 AND dist_to_industrial_km > 10 AND agri_season_region IS NOT NULL THEN 'agricultural_burning' WHEN confirming_count = 0 AND dist_to_industrial_km > 10 THEN 'insufficient_evidence' WHEN agri_penalty THEN 'agricultural_burning'
+        WHEN temp_class = 'flare_like' AND recurrence_days >= 2 AND confirming_count > 0 THEN 'flare_signature' WHEN fusion_score >= 0.62 AND recurrence_days >= 3 THEN 'persistent_industrial_source' WHEN fusion_score >= 0.42 THEN 'industrial_fire' ELSE 'insufficient_evidence' END AS label FROM fused)""",
     "pairs": f"SELECT a.ord AS a, b.ord AS b, {km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} AS km FROM clean a JOIN clean b ON a.ord < b.ord AND abs(date_diff('day', a.acq_date, b.acq_date)) <= 5 AND abs(a.latitude - b.latitude) < 0.03 AND abs(a.longitude - b.longitude) < 0.035 WHERE {km('a.latitude', 'a.longitude', 'b.latitude', 'b.longitude')} <= 3.0",
     "links": "SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs",
     "reach": "SELECT a AS node, a AS root FROM links UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node AND r.root < l.b",

@@ -64,9 +64,9 @@ def archive_beats_nrt(spark, d):
     return D.archive_first(views.detections(spark, d), ["user_id", "acq_date"], F.col("source_sensor").endswith("_SP"), "ord").select("ord", "user_id", "acq_date", "source_sensor")
 
 
-@query("SELECT ord, label, risk_score FROM classed WHERE label IN ('industrial_fire', 'persistent_industrial') AND acq_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND longitude BETWEEN 74.0 AND 77.0 AND latitude BETWEEN 19.0 AND 22.0 AND risk_score >= 0.2 AND (contains('|' || sources_confirming || '|', '|osm|') OR contains('|' || sources_confirming || '|', '|gem|')) AND contains(lower(facility_name), 'e')")
+@query("SELECT ord, label, risk_score FROM classed WHERE label IN ('industrial_fire', 'persistent_industrial_source') AND acq_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND longitude BETWEEN 74.0 AND 77.0 AND latitude BETWEEN 19.0 AND 22.0 AND risk_score >= 0.2 AND (contains('|' || sources_confirming || '|', '|osm|') OR contains('|' || sources_confirming || '|', '|gem|')) AND contains(lower(facility_name), 'e')")
 def api_detections(spark, d):
-    q = reports.DetectionQuery.parse({"label": "industrial_fire, persistent_industrial", "from": "2024-01-05", "to": "2024-01-20", "bbox": "74,19,77,22", "min_score": "0.2", "min_fusion": "x", "sources": "osm,gem,zzz", "q": "E"})
+    q = reports.DetectionQuery.parse({"label": "industrial_fire, persistent_industrial_source", "from": "2024-01-05", "to": "2024-01-20", "bbox": "74,19,77,22", "min_score": "0.2", "min_fusion": "x", "sources": "osm,gem,zzz", "q": "E"})
     return q.apply(scored(spark, d)).select("ord", "label", "risk_score")
 
 
@@ -111,12 +111,16 @@ def cluster_summary(spark, d):
 
 
 def records(spark, d):
-    return views.facilities(spark, d).withColumn("ord", F.concat_ws(":", F.when(F.col("source") == "osm", "0").when(F.col("source") == "wri", "1").otherwise("2"), F.lpad("source_id", 12, "0")))
+    return scoring.with_ordinal(views.facilities(spark, d))
 
 
-@query(None)
+SITE = "sources_present, source_agreement, status, capacity_unit, record_count, ftype, name, subnational"
+
+
+@query(f"SELECT uid AS facility_uid, {six('lat', 'lon')}, {O.he('capacity_value', 2)} AS capacity_value, {SITE} FROM site")
 def site_groups(spark, d):
-    return clusters.site_groups(clusters.assign_sites(records(spark, d)))
+    out = clusters.site_groups(clusters.assign_sites(records(spark, d)))
+    return out.select("facility_uid", *rounded("lat", "lon"), X.half_even("capacity_value", 2).alias("capacity_value"), *SITE.split(", "))
 
 
 def grid_sites(spark, d):
@@ -204,9 +208,21 @@ def classify(spark, d):
     return scored(spark, d).select("ord", "label", "evidence_level", "facility_name")
 
 
-@query(None)
+PARTS = (
+    ("corroboration", "Registry corroboration", "corroboration_score", 0.30, "printf('%d of %d registries place infrastructure within 3 km', confirming_count, (SELECT count(DISTINCT source) FROM fac))"),
+    ("physics", "Combustion temperature", "physics_score", 0.25, "CASE WHEN est_temp_k IS NULL THEN 'temperature retrieval unavailable' ELSE printf('retrieved %.0f K (%s)', round_even(est_temp_k, 0), replace(temp_class, '_', ' ')) END"),
+    ("persistence", "Repeat detections", "persistence_norm", 0.20, "printf('seen on %d separate days', recurrence_days)"),
+    ("nocturnal", "Burns at night", "nocturnal_score", 0.10, "printf('%.0f%% of detections at night', round_even(night_fraction * 100, 0))"),
+    ("intensity", "Thermal intensity", "frp_intensity_norm", 0.15, f"printf('FRP %.1f MW, %.0fth percentile', {O.he('frp', 1)}, round_even(frp_intensity_norm * 100, 0))"),
+)
+EXPLAINED = " UNION ALL ".join(f"SELECT ord, {n} AS i, '{k}' AS key, '{label}' AS label, {O.he(c, 3)} AS value, {w}::DOUBLE AS weight, {O.he(f'{c} * {w}', 4)} AS contribution, {text} AS detail FROM classed" for n, (k, label, c, w, text) in enumerate(PARTS))
+EXPLAINED += f" UNION ALL SELECT ord, 5, 'agri_penalty', 'Crop-burning season', 1.0, -0.45, {O.he('evidence_score * -0.45', 4)}, 'inside ' || agri_season_region || ' during its burning window' FROM classed WHERE agri_penalty"
+
+
+@query(f"SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY abs(contribution) DESC, i) AS place, key, label, value, weight, contribution, detail FROM ({EXPLAINED})")
 def explanations(spark, d):
-    return scored(spark, d).select("ord", "contributions")
+    parts = F.posexplode(F.from_json("contributions", f"array<struct<{scoring.PART.replace(', ', ',').replace(' ', ':')}>>")).alias("place", "part")
+    return scored(spark, d).select("ord", parts).select("ord", (F.col("place") + 1).cast("long").alias("place"), "part.*")
 
 
 @query("SELECT ord, CASE WHEN dist_to_industrial_km <= 1 AND confirming_count >= 2 AND agri_season_region IS NULL THEN 1 WHEN dist_to_industrial_km > 10 AND confirming_count = 0 THEN 0 END AS weak_label FROM classed")
@@ -319,10 +335,10 @@ def tile_clusters(spark, d):
     return reports.tiles(clean(spark, d), (3, 7, 11))
 
 
-@query("SELECT count(*) AS total, count(*) FILTER (confirming_count >= 2) AS multi_source, count(*) FILTER (est_temp_k IS NOT NULL) AS retrieved, count(*) FILTER (label = 'industrial_fire') AS industrial, count(*) FILTER (label = 'persistent_industrial') AS persistent, count(*) FILTER (label = 'insufficient_evidence') AS insufficient FROM classed")
+@query("SELECT count(*) AS total, count(*) FILTER (confirming_count >= 2) AS multi_source, count(*) FILTER (est_temp_k IS NOT NULL) AS retrieved, count(*) FILTER (label = 'industrial_fire') AS industrial, count(*) FILTER (label = 'persistent_industrial_source') AS persistent, count(*) FILTER (label = 'flare_signature') AS flares, count(*) FILTER (label = 'agricultural_burning') AS agricultural, count(*) FILTER (label = 'insufficient_evidence') AS insufficient FROM classed")
 def stats(spark, d):
     is_ = lambda v: F.count_if(F.col("label") == v)
-    return scored(spark, d).agg(F.count("*").alias("total"), F.count_if(F.col("confirming_count") >= 2).alias("multi_source"), F.count_if(F.col("est_temp_k").isNotNull()).alias("retrieved"), is_("industrial_fire").alias("industrial"), is_("persistent_industrial").alias("persistent"), is_("insufficient_evidence").alias("insufficient"))
+    return scored(spark, d).agg(F.count("*").alias("total"), F.count_if(F.col("confirming_count") >= 2).alias("multi_source"), F.count_if(F.col("est_temp_k").isNotNull()).alias("retrieved"), is_("industrial_fire").alias("industrial"), is_("persistent_industrial_source").alias("persistent"), is_("flare_signature").alias("flares"), is_("agricultural_burning").alias("agricultural"), is_("insufficient_evidence").alias("insufficient"))
 
 
 @query("SELECT s AS source, count(*) AS confirmed FROM (SELECT unnest(string_split(sc, '|')) AS s FROM clean JOIN reg USING (latitude, longitude) WHERE confirming_count > 0) GROUP BY s")
