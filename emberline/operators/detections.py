@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import exprs as X
-from .graph import cut
-from .ranks import average_rank, quantiles  # noqa: F401
+from .ranks import average_rank, before, distinct_values, quantiles  # noqa: F401
 
 
 def best_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -169,13 +168,14 @@ def spread(df: DataFrame, keys: list[str], mid: str, size: str, mad: str) -> Dat
     return same(first, first.groupBy(*keys).agg((F.median(F.abs(F.col("frp") - F.col(mid))) * C.MAD_TO_SIGMA).alias(mad)), keys)
 
 
-def robust_baseline(df: DataFrame) -> DataFrame:
-    """Robust z of frp against its cell, else region, else scene."""
+def robust_baseline(df: DataFrame, powers: DataFrame | None = None) -> DataFrame:
+    """Robust z of frp against its cell, else region, else scene. ``powers``: the distinct values of frp, if they are known."""
+    powers = distinct_values(df, "frp") if powers is None else powers
     df = with_grid(df).withColumns({"_rla": X.half_even("latitude", 1), "_rlo": X.half_even("longitude", 1)})
     df = spread(spread(df, ["grid_lat", "grid_lon"], "_mc", "_nc", "_sc"), ["_rla", "_rlo"], "_mr", "_nr", "_sr")
-    mid = cut(quantiles(df, "frp", {"_ms": 0.5}))
-    off = df.select("frp").crossJoin(F.broadcast(mid)).select(F.abs(F.col("frp") - F.col("_ms")).alias("_off"))
-    scene = quantiles(off, "_off", {"_ss": 0.5}).withColumn("_ss", F.col("_ss") * C.MAD_TO_SIGMA)
+    mid = quantiles(df, "frp", {"_ms": 0.5}, powers)
+    off = powers.crossJoin(F.broadcast(mid)).groupBy(F.abs(F.col("_v") - F.col("_ms")).alias("_v")).agg(F.sum("_n").alias("_n"))
+    scene = quantiles(df, "_off", {"_ss": 0.5}, before(off, [F.col("_v")], "_below", F.col("_n"))).withColumn("_ss", F.col("_ss") * C.MAD_TO_SIGMA)
     df = df.crossJoin(F.broadcast(mid)).crossJoin(F.broadcast(scene))
     level = F.when(F.col("_nc") >= C.MIN_SAMPLES, "cell").when(F.col("_nr") >= C.MIN_SAMPLES, "region").otherwise("scene")
     pick = lambda c, r, s: F.when(F.col("baseline_level") == "cell", F.col(c)).when(F.col("baseline_level") == "region", F.col(r)).otherwise(F.col(s))

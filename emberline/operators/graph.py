@@ -3,23 +3,35 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder of ``spark.checkpoint.dir`` and cut its lineage.
+def folder(spark: SparkSession) -> str:
+    """The shared folder that ``spark.checkpoint.dir`` names.
 
     Only a local master, whose executors share its disk, may go without that setting: a temporary folder is used.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if not context.getCheckpointDir():
         shared = context.getConf().get("spark.checkpoint.dir")
         if not shared and not context.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="checkpoints-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written as a table in the shared folder and read back: its lineage ends, executors may be lost.
+
+    A table, unlike a checkpoint, tells the planner its size; a checkpoint keeps the size that
+    was guessed for the plan it replaces, and guesses over guesses grow without bound.
+    """
+    path = f"{folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 #: Parts that the edges of one node are dealt over where they meet its least neighbour.

@@ -31,17 +31,17 @@ def distinct_values(df: DataFrame, value: str | Column, out: str = "_v") -> Data
     return before(table, [F.col(out)], "_below", F.col("_n"))
 
 
-def average_rank(df: DataFrame, value: str, out: str) -> DataFrame:
-    """Average rank of ``value`` over the number of rows that have one; null where it is null."""
-    table = distinct_values(df, value)
+def average_rank(df: DataFrame, value: str, out: str, table: DataFrame | None = None) -> DataFrame:
+    """Average rank of ``value`` over the number of rows that have one; null where it is null. ``table``: :func:`distinct_values`, if it is known."""
+    table = distinct_values(df, value) if table is None else table
     total = table.agg(F.sum("_n").alias("_total"))
     ranks = table.crossJoin(F.broadcast(total)).select("_v", ((F.col("_below") + (F.col("_n") + 1) / 2) / F.col("_total")).alias(out))
     return df.join(ranks, df[value] == ranks["_v"], "left").drop("_v")
 
 
-def quantiles(df: DataFrame, value: str | Column, points: dict[str, float]) -> DataFrame:
+def quantiles(df: DataFrame, value: str | Column, points: dict[str, float], table: DataFrame | None = None) -> DataFrame:
     """One row of exact quantiles, linear between neighbours, a column each; nulls for an empty table."""
-    table = distinct_values(df, value)
+    table = distinct_values(df, value) if table is None else table
     total = table.agg(F.sum("_n").alias("_total"))
     met = table.crossJoin(F.broadcast(total))
     out = []
@@ -52,3 +52,18 @@ def quantiles(df: DataFrame, value: str | Column, points: dict[str, float]) -> D
         share = F.max(at - F.floor(at))
         out.append((low + (high - low) * share).alias(name))
     return met.agg(*out)
+
+
+def group_quantiles(df: DataFrame, group: str, value: str, points: dict[str, float]) -> DataFrame:
+    """Of each group its exact quantiles, least and greatest value, distinct values and rows: group, low, high, distinct, rows and the points."""
+    table = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("_g"), F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = before(table, [F.col("_g"), F.col("_v")], "_below", F.col("_n"))
+    sizes = placed.groupBy("_g").agg(F.min("_below").alias("_start"), F.sum("_n").alias("_total"))
+    met = placed.join(F.broadcast(sizes), "_g").withColumn("_below", F.col("_below") - F.col("_start"))  # groups are columns or classes, which are few
+    out = [F.min("_v").alias("low"), F.max("_v").alias("high"), F.count("*").alias("distinct"), F.max("_total").alias("rows")]
+    for name, p in points.items():
+        at = F.lit(float(p)) * (F.col("_total") - 1)
+        holds = lambda k: (F.col("_below") <= k) & (k < F.col("_below") + F.col("_n"))
+        low, high = (F.max(F.when(holds(k), F.col("_v"))) for k in (F.floor(at), F.ceil(at)))
+        out.append((low + (high - low) * F.max(at - F.floor(at))).alias(name))
+    return met.groupBy(F.col("_g").alias(group)).agg(*out)

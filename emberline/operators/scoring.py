@@ -182,9 +182,167 @@ def score_all(df: DataFrame, facilities: DataFrame, ordinal: str = "ord", bounda
     df = D.confident(df)
     rows = cut(D.best_of_cell_day(df if boundary is None else inside_polygon(df, boundary), ordinal))
     near = corroborate(rows.select(ordinal, "latitude", "longitude"), facilities, sources=sources).drop("latitude", "longitude")
-    out = D.season(D.robust_baseline(D.temporal(D.subpixel(D.background(rows)))))
-    out = D.average_rank(out, "frp", "frp_intensity_norm").withColumn("nocturnal_score", X.clip("night_fraction", 0.0, 1.0))
     # the stages so far are cut once; what follows reads them twice
-    out = cut(evidence(out.join(near, ordinal)))
+    out = cut(evidence(thermal(rows).join(near, ordinal)))
     out = out.withColumns({"ml_probability": F.lit(None).cast("double"), "unsupervised_score": F.lit(None).cast("double")}) if models is None else models(out)
     return explain(classify(fuse(out)))
+
+
+def thermal(rows: DataFrame) -> DataFrame:
+    """The stages that no registry takes part in: background, physics, recurrence, baseline, season and power rank."""
+    from . import detections as D
+
+    powers = D.distinct_values(rows, "frp")
+    out = D.average_rank(D.robust_baseline(D.background(rows), powers), "frp", "frp_intensity_norm", powers)
+    return D.season(D.subpixel(D.temporal(out))).withColumn("nocturnal_score", X.clip("night_fraction", 0.0, 1.0))
+
+
+def ablation(rows: DataFrame, facilities: DataFrame, subsets: tuple[tuple[str, ...], ...]) -> DataFrame:
+    """Of each subset of the registries what the feed would be with it alone: one row each. ``rows``: of :func:`thermal`.
+
+    Distances to every registry and to every subset's sites come from one search; subsets are
+    rows of a small table that each detection meets, so scoring runs once for all.
+    """
+    from .clusters import assign_sites, site_groups
+    from .graph import cut
+    from .ranks import group_quantiles
+
+    records = cut(assign_sites(with_ordinal(facilities)))
+    groups = site_groups(records).where("lat IS NOT NULL AND lon IS NOT NULL")
+    named = rows.sparkSession.createDataFrame([(i, "+".join(s), list(s)) for i, s in enumerate(subsets)], "i int, subset string, s array<string>")
+    place = [F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.struct(F.lit(1).alias("x")).alias("site")]
+    own = records.where("lat IS NOT NULL AND lon IS NOT NULL").select(F.col("source").alias("grp"), "ord", *place)
+    of_subset = groups.crossJoin(F.broadcast(named)).where(F.arrays_overlap(F.split("sources_present", "[|]"), "s")).select(F.concat(F.lit("subset "), "i").alias("grp"), F.col("facility_uid").alias("ord"), *place)
+    near = nearest(rows.select(F.col("latitude").alias("plat"), F.col("longitude").alias("plon")).distinct(), own.unionByName(of_subset))
+    to = lambda g: F.max(F.when(F.col("grp") == g, F.col("km")))
+    near = near.groupBy("plat", "plon").agg(*[to(s).alias(f"_d_{s}") for s in C.SOURCES], F.array(*[to(f"subset {i}") for i in range(len(subsets))]).alias("_sites"))
+    have = facilities.where("lat IS NOT NULL AND lon IS NOT NULL").agg(*[F.coalesce(F.bool_or(F.col("source") == s), F.lit(False)).alias(f"_have_{s}") for s in C.SOURCES])
+    df = rows.join(near, (rows["latitude"] == near["plat"]) & (rows["longitude"] == near["plon"]), "left").crossJoin(F.broadcast(have)).crossJoin(F.broadcast(named))
+    d = {s: F.when(F.array_contains("s", s), F.col(f"_d_{s}")) for s in C.SOURCES}
+    loaded = sum(((F.array_contains("s", s) & F.col(f"_have_{s}")).cast("int") for s in C.SOURCES), F.lit(0))
+    votes = sum((F.when(v <= C.ONSITE_KM, 1.0).when(v <= C.CORROBORATION_KM, 0.6).otherwise(0.0) for v in d.values()), F.lit(0.0))
+    df = df.withColumns({
+        "corroboration_score": X.half_even(X.clip(votes / F.greatest(loaded, F.lit(1)), 0.0, 1.0), 4), "confirming_count": sum((F.coalesce((v <= C.CORROBORATION_KM).cast("int"), F.lit(0)) for v in d.values()), F.lit(0)),
+        "dist_to_industrial_km": F.coalesce(X.half_even(F.get("_sites", F.col("i")), 3), F.lit(float("inf"))), "ml_probability": F.lit(None).cast("double"), "unsupervised_score": F.lit(None).cast("double"),
+    })
+    out = cut(classify(fuse(evidence(df))).select("subset", "confirming_count", "label", "dist_to_industrial_km"))
+    counts = out.groupBy("subset").agg(
+        F.count_if(F.col("confirming_count") >= 1).alias("corroborated"), F.count_if(F.col("confirming_count") >= 2).alias("multi_confirmed"), F.count_if(F.col("label").isin(*INDUSTRIAL)).alias("industrial_total"),
+        F.count_if(F.col("label") == INDUSTRIAL[0]).alias("persistent"), F.count_if(F.col("label") == "insufficient_evidence").alias("insufficient"),
+    )
+    middle = group_quantiles(out.withColumn("x", X.finite("dist_to_industrial_km")), "subset", "x", {"mid": 0.5})
+    return counts.join(middle.select("subset", X.half_even("mid", 3).alias("median_distance_km")), "subset", "left")
+
+
+#: Columns of the published table that the feed holds under another name.
+PUBLISHED = {
+    "temp_class": "temp_class", "abnormality": "thermal_abnormality", "regularity": "inter_arrival_regularity", "ceased_source": "ceased", "reactivated_source": "reactivated", "active_span": "active_span_days", "confirming_count": "sources_confirming_count",
+    "facility_name": "nearest_facility_name", "facility_type": "nearest_facility_type", "facility_lat": "nearest_facility_lat", "facility_lon": "nearest_facility_lon", "agri_penalty": "agri_penalty_applied", "ml_probability": "ml_industrial_prob",
+    "unsupervised_score": "unsupervised_anomaly", "priority": "risk_level", "label": "final_label", "label_display": "final_label_display",
+}
+# The published table, in order: column, type, section and what it holds.
+OUTPUT = (
+    ("detection_id", "string", "Identity", "id that follows from place, day and time"),
+    ("latitude", "double", "Identity", "middle of the pixel, degrees"),
+    ("longitude", "double", "Identity", "middle of the pixel, degrees"),
+    ("acq_date", "date", "Identity", "day of the overpass, UTC"),
+    ("acq_time", "int", "Identity", "time of the overpass, HHMM UTC"),
+    ("daynight", "string", "Identity", "D by day, N by night"),
+    ("satellite", "string", "Identity", "platform"),
+    ("instrument", "string", "Identity", "VIIRS or MODIS"),
+    ("source_sensor", "string", "Identity", "product and whether archived (SP) or near real time (NRT)"),
+    ("confidence", "string", "Identity", "l, n, h, or 0 to 100"),
+    ("scan", "double", "Identity", "pixel along the scan, km"),
+    ("track", "double", "Identity", "pixel along the track, km"),
+    ("grid_lat", "double", "Identity", "latitude of the grid cell"),
+    ("grid_lon", "double", "Identity", "longitude of the grid cell"),
+    ("frp", "double", "Radiometry", "fire radiative power, MW"),
+    ("bright_ti4", "double", "Radiometry", "VIIRS brightness temperature at 3.74 um, K"),
+    ("bright_ti5", "double", "Radiometry", "VIIRS brightness temperature at 11.45 um, K"),
+    ("brightness", "double", "Radiometry", "MODIS brightness temperature at 3.96 um, K"),
+    ("bright_t31", "double", "Radiometry", "MODIS brightness temperature at 11.03 um, K"),
+    ("est_temp_k", "double", "Sub-pixel physics", "temperature of the fire, K, where the two channels give one"),
+    ("hot_fraction", "double", "Sub-pixel physics", "share of the pixel that is hot"),
+    ("est_area_m2", "double", "Sub-pixel physics", "hot area"),
+    ("pixel_area_m2", "double", "Sub-pixel physics", "area of the pixel"),
+    ("temp_class", "string", "Sub-pixel physics", "band of the temperature"),
+    ("i4_saturated", "boolean", "Sub-pixel physics", "the short channel is at its ceiling"),
+    ("temp_is_lower_bound", "boolean", "Sub-pixel physics", "the temperature is a floor, as the channel is saturated"),
+    ("retrieval_status", "string", "Sub-pixel physics", "why there is a temperature or none"),
+    ("baseline_frp", "double", "Baseline and abnormality", "median power of the group compared with"),
+    ("baseline_level", "string", "Baseline and abnormality", "cell, region or scene"),
+    ("frp_robust_z", "double", "Baseline and abnormality", "deviation from the median in scaled median deviations"),
+    ("thermal_abnormality", "double", "Baseline and abnormality", "that deviation from 0 to 1, full at three"),
+    ("frp_intensity_norm", "double", "Baseline and abnormality", "mean rank of the power among all rows"),
+    ("recurrence_days", "int", "Temporal behaviour", "days on which the cell was seen"),
+    ("detections_in_cell", "int", "Temporal behaviour", "detections of the cell"),
+    ("night_fraction", "double", "Temporal behaviour", "share of them by night"),
+    ("duty_cycle", "double", "Temporal behaviour", "share of the window's days with the cell alight"),
+    ("inter_arrival_regularity", "double", "Temporal behaviour", "1 for even gaps between days"),
+    ("frp_shift", "double", "Temporal behaviour", "largest step of the cell's daily power"),
+    ("persistence_norm", "double", "Temporal behaviour", "days seen, full at fifteen"),
+    ("nocturnal_score", "double", "Temporal behaviour", "share by night, from 0 to 1"),
+    ("new_source", "boolean", "Temporal behaviour", "first seen at the end of the window"),
+    ("ceased", "boolean", "Temporal behaviour", "dark at the end of the window"),
+    ("reactivated", "boolean", "Temporal behaviour", "back after a long pause"),
+    ("active_span_days", "int", "Temporal behaviour", "days from first to last sight"),
+    ("observation_window_days", "int", "Temporal behaviour", "days of the window"),
+    ("dist_to_industrial_km", "double", "Facility registry", "distance to the nearest site"),
+    ("dist_osm_km", "double", "Facility registry", "distance to the nearest record of this registry"),
+    ("dist_wri_km", "double", "Facility registry", "distance to the nearest record of this registry"),
+    ("dist_gem_km", "double", "Facility registry", "distance to the nearest record of this registry"),
+    ("dist_eog_km", "double", "Facility registry", "distance to the nearest record of this registry"),
+    ("count_osm_3km", "int", "Facility registry", "records of this registry within 3 km"),
+    ("count_wri_3km", "int", "Facility registry", "records of this registry within 3 km"),
+    ("count_gem_3km", "int", "Facility registry", "records of this registry within 3 km"),
+    ("count_eog_3km", "int", "Facility registry", "records of this registry within 3 km"),
+    ("sources_loaded", "string", "Facility registry", "registries that take part"),
+    ("sources_confirming", "string", "Facility registry", "registries with a record within 3 km"),
+    ("sources_confirming_count", "int", "Facility registry", "how many those are"),
+    ("corroboration_score", "double", "Facility registry", "votes of the registries over those that take part"),
+    ("facility_uid", "string", "Facility registry", "nearest site"),
+    ("nearest_facility_name", "string", "Facility registry", "its name"),
+    ("nearest_facility_type", "string", "Facility registry", "its class"),
+    ("nearest_facility_lat", "double", "Facility registry", "its latitude"),
+    ("nearest_facility_lon", "double", "Facility registry", "its longitude"),
+    ("facility_sources", "string", "Facility registry", "registries that list it"),
+    ("facility_source_agreement", "int", "Facility registry", "how many those are"),
+    ("facility_status", "string", "Facility registry", "its status"),
+    ("facility_capacity_value", "double", "Facility registry", "its capacity"),
+    ("facility_capacity_unit", "string", "Facility registry", "unit of the capacity"),
+    ("facility_subnational", "string", "Facility registry", "its state or province"),
+    ("industrial_context", "string", "Facility registry", "surroundings in words"),
+    ("agri_season_context", "boolean", "Seasonal context", "in a burning belt in its season"),
+    ("agri_season_region", "string", "Seasonal context", "which belt"),
+    ("agri_penalty_applied", "boolean", "Seasonal context", "the evidence was discounted for it"),
+    ("corroboration_component", "double", "Scores", "registries' part of the evidence"),
+    ("physics_score", "double", "Scores", "temperature's part"),
+    ("persistence_component", "double", "Scores", "recurrence's part"),
+    ("nocturnal_component", "double", "Scores", "night's part"),
+    ("intensity_component", "double", "Scores", "power's part"),
+    ("evidence_score", "double", "Scores", "weighted evidence"),
+    ("industrial_evidence_score", "double", "Scores", "the same, under its older name"),
+    ("ml_industrial_prob", "double", "Scores", "calibrated probability of the classifier"),
+    ("unsupervised_anomaly", "double", "Scores", "mean rank of two outlier scores"),
+    ("anomaly_probability", "double", "Scores", "blend of the three scores"),
+    ("fusion_score", "double", "Scores", "the same, as the viewer reads it"),
+    ("risk_score", "double", "Scores", "priority of a look"),
+    ("risk_level", "string", "Scores", "band of the priority"),
+    ("final_label", "string", "Classification", "class"),
+    ("final_label_display", "string", "Classification", "its caption"),
+    ("evidence_level", "string", "Classification", "band of the evidence, none without a claim"),
+    ("contributions", "string", "Classification", "what made the evidence, as JSON"),
+    ("method_version", "string", "Classification", "version of the method"),
+    ("cluster_id", "string", "Classification", "spatio-temporal cluster"),
+)
+
+
+def published(df: DataFrame, version: str) -> DataFrame:
+    """The feed as the published table: every column of OUTPUT, in order, null where the feed has none."""
+    from .reports import select_output
+
+    modis = F.col("instrument").startswith("MODIS")
+    same_ = {"corroboration_component": "corroboration_score", "persistence_component": "persistence_norm", "nocturnal_component": "nocturnal_score", "intensity_component": "frp_intensity_norm", "industrial_evidence_score": "evidence_score", "anomaly_probability": "fusion_score"}
+    df = df.withColumns({c: F.col(x) for c, x in same_.items()})
+    df = df.withColumns({"bright_ti4": F.when(~modis, F.col("bt4")), "bright_ti5": F.when(~modis, F.col("bt5")), "brightness": F.when(modis, F.col("bt4")), "bright_t31": F.when(modis, F.col("bt5")), "method_version": F.lit(version)})
+    return select_output(df.withColumnsRenamed(PUBLISHED), [(c, t) for c, t, _, _ in OUTPUT])

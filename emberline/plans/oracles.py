@@ -115,7 +115,7 @@ STAGES: dict[str, str] = {
     "evid": f"""SELECT *, {he(clip('CASE WHEN agri_penalty THEN raw * 0.55 ELSE raw END'), 4)} AS evidence_score FROM (
       SELECT *, {W['corroboration']} * corroboration_score + {W['physics']} * physics_score + {W['persistence']} * persistence_norm + {W['nocturnal']} * nocturnal_score + {W['intensity']} * frp_intensity_norm AS raw,
         coalesce(agri_season_region IS NOT NULL AND temp_class IN ('biomass_like', 'smouldering', 'unknown') AND corroboration_score < 0.3, false) AS agri_penalty FROM (
-      SELECT p.*, c.* EXCLUDE (grid_lat, grid_lon), b.abnormality, b.frp_robust_z, i.frp_intensity_norm, c.night_fraction AS nocturnal_score, r.corroboration_score, coalesce(r.sc, '') AS sources_confirming, r.confirming_count, r.di AS dist_to_industrial_km, r.industrial_context, r.site.uid AS facility_uid,
+      SELECT p.*, c.* EXCLUDE (grid_lat, grid_lon), b.abnormality, b.frp_robust_z, b.baseline_frp AS b_frp, b.baseline_level, i.frp_intensity_norm, c.night_fraction AS nocturnal_score, r.corroboration_score, coalesce(r.sc, '') AS sources_confirming, r.confirming_count, r.di AS dist_to_industrial_km, r.industrial_context, r.site.uid AS facility_uid,
         coalesce(CASE WHEN trim(r.site.name) <> '' THEN r.site.name END, 'Unnamed industrial feature') AS facility_name, r.site.ftype AS facility_type, r.site AS site, r.n_osm, r.n_wri, r.n_gem, r.n_eog, r.d_osm, r.d_wri, r.d_gem, r.d_eog, {season('p.acq_date', 'p.')} AS agri_season_region, coalesce({he(clip('(p.est_temp_k - 800) / 700'), 4)}, 0.25) AS physics_score
       FROM phys p JOIN cells c ON {he('p.latitude', 2)} = c.grid_lat AND {he('p.longitude', 2)} = c.grid_lon JOIN base b USING (ord) LEFT JOIN inten i USING (ord) JOIN reg r ON p.latitude = r.latitude AND p.longitude = r.longitude))""",
     "fused": f"""SELECT *, CASE WHEN risk_score <= 0.35 THEN 'Low' WHEN risk_score <= 0.55 THEN 'Moderate' WHEN risk_score <= 0.75 THEN 'High' ELSE 'Critical' END AS priority FROM (

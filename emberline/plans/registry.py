@@ -70,8 +70,8 @@ def api_detections(spark, d):
     return q.apply(scored(spark, d)).select("ord", "label", "risk_score")
 
 
-def scored(spark, d):
-    return scoring.score_all(views.detections(spark, d), views.facilities(spark, d))
+def scored(spark, d, **options):
+    return scoring.score_all(views.detections(spark, d), views.facilities(spark, d), **options)
 
 
 POLYGON = [[[(75.0, 20.0), (77.0, 20.0), (77.0, 22.5), (76.0, 21.0), (75.0, 22.5)], [(75.5, 20.5), (75.8, 20.5), (75.8, 20.8), (75.5, 20.8)]]]
@@ -246,16 +246,6 @@ def footprint(spark, d):
     return reports.footprint(clean(spark, d), F.col("frp") > 20)
 
 
-PROFILED = ("frp", "bt4", "bt5")
-LONG = " UNION ALL ".join(f"SELECT '{c}' AS name, {c}::DOUBLE AS x FROM clean" for c in PROFILED)
-
-
-@query(f"""SELECT name, {six('fill', 'low', 'mid', 'high')}, bin, count(*) AS n FROM (SELECT *, CASE WHEN p99 > p1 THEN least(greatest(floor((x - p1) / ((p99 - p1) / 18)), 0), 17)::INT ELSE 0 END AS bin FROM ({LONG}) JOIN (
- SELECT name, avg((x IS NOT NULL)::INT) AS fill, min(x) AS low, median(x) AS mid, max(x) AS high, quantile_cont(x, 0.01) AS p1, quantile_cont(x, 0.99) AS p99 FROM ({LONG}) GROUP BY name) USING (name) WHERE x IS NOT NULL) GROUP BY name, fill, low, mid, high, bin""")
-def column_profile(spark, d):
-    return reports.column_profile(clean(spark, d), list(PROFILED)).select("name", *rounded("fill", "low", "mid", "high"), "bin", "n")
-
-
 @query("SELECT substr(source_sensor, 1, 40) AS value, count(*) AS n FROM clean GROUP BY 1 ORDER BY n DESC, value LIMIT 5")
 def top_sensors(spark, d):
     return reports.top_values(clean(spark, d), "source_sensor")
@@ -287,23 +277,6 @@ def feed_topk(spark, d):
     return reports.feed(clean(spark, d), "frp").select("ord", "frp")
 
 
-CODED = ("source_sensor", "daynight")
-
-
-@query("SELECT ord, " + ", ".join(f"(SELECT count(*) FROM (SELECT min(ord) AS o FROM clean GROUP BY {c}) q WHERE q.o < (SELECT min(ord) FROM clean z WHERE z.{c} = clean.{c}))::INT AS {c}_code" for c in CODED) + " FROM clean")
-def map_payload(spark, d):
-    return reports.map_payload(clean(spark, d).select("ord", *CODED), list(CODED))
-
-
-@query("SELECT ord, source_sensor, daynight FROM clean")
-def map_payload_roundtrip(spark, d):
-    rows = clean(spark, d).select("ord", *CODED)
-    coded = reports.map_payload(rows, list(CODED))
-    for c in CODED:
-        coded = coded.join(F.broadcast(reports.dictionary(rows, c).select(F.col("value").alias(c), F.col("code").alias(f"{c}_code"))), f"{c}_code", "left")
-    return coded.select("ord", *CODED)
-
-
 @query("SELECT least(399, floor((longitude - 67.5) / 31 * 400))::BIGINT AS gx, least(399, floor((latitude - 6.5) / 31 * 400))::BIGINT AS gy, count(*) AS n FROM clean GROUP BY ALL")
 def density_grid(spark, d):
     at = lambda c, low: F.least(F.lit(399), F.floor((F.col(c) - low) / 31 * 400))
@@ -330,11 +303,6 @@ def playback_trail(spark, d):
     return reports.playback(clean(spark, d)).select("d", "shown", r6("weight").alias("weight"))
 
 
-@query("SELECT z, floor((longitude + 180.0) / 360.0 * 256 * pow(2.0, z) / 48)::BIGINT AS tx, floor(256 * (0.5 - ln((1 + sin(radians(latitude))) / (1 - sin(radians(latitude)))) / (4 * 3.141592653589793)) * pow(2.0, z) / 48)::BIGINT AS ty, count(*) AS n, count(*) FILTER (daynight = 'N') AS night FROM clean, (SELECT unnest([3, 7, 11]) AS z) GROUP BY ALL")
-def tile_clusters(spark, d):
-    return reports.tiles(clean(spark, d), (3, 7, 11))
-
-
 @query("SELECT count(*) AS total, count(*) FILTER (confirming_count >= 2) AS multi_source, count(*) FILTER (est_temp_k IS NOT NULL) AS retrieved, count(*) FILTER (label = 'industrial_fire') AS industrial, count(*) FILTER (label = 'persistent_industrial_source') AS persistent, count(*) FILTER (label = 'flare_signature') AS flares, count(*) FILTER (label = 'agricultural_burning') AS agricultural, count(*) FILTER (label = 'insufficient_evidence') AS insufficient FROM classed")
 def stats(spark, d):
     is_ = lambda v: F.count_if(F.col("label") == v)
@@ -347,11 +315,6 @@ def source_status(spark, d):
     return c.where("confirming_count > 0").select(F.explode(F.split("sources_confirming", "[|]")).alias("source")).groupBy("source").agg(F.count("*").alias("confirmed"))
 
 
-@query(None)
-def geojson_features(spark, d):
-    return reports.geojson(clean(spark, d), ["ord", "frp", "daynight"])
-
-
 @query("SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(regexp_replace(lower(coalesce(p_name, 'none')), '[^a-z0-9 ]+', ' ', 'g'), '\\b(" + "|".join(X.NAME_NOISE) + ")\\b', ' ', 'g'), ' +', ' ', 'g')) AS name FROM part")
 def name_normalise(spark, d):
     return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("id"), X.normal_name("p_name").alias("name"))
@@ -397,22 +360,6 @@ def legacy_v2_scores(spark, d):
     return legacy_scores(cut(D.temporal(clean(spark, d))), views.facilities(spark, d))
 
 
-SUBSETS = (("osm",), ("wri",), ("gem",), ("osm", "wri"), ("osm", "gem"), ("wri", "gem"), ("osm", "wri", "gem"))
-_subset_values = ", ".join(f"('{'+'.join(s)}', {list(s)})" for s in SUBSETS)
-
-
-@query(f"""SELECT subset, count(*) FILTER (k >= 1) AS corroborated, count(*) FILTER (k >= 2) AS confirmed_twice, {O.he('median(' + O.he('d', 3) + ')', 3)} AS median_km FROM (
- SELECT subset, ord, least({', '.join(f"CASE WHEN list_contains(s, '{x}') THEN d_{x} END" for x in ('osm', 'wri', 'gem'))}) AS d, {' + '.join(f"coalesce((list_contains(s, '{x}') AND d_{x} <= 3)::INT, 0)" for x in ('osm', 'wri', 'gem'))} AS k FROM clean JOIN near USING (latitude, longitude), (VALUES {_subset_values}) v(subset, s)) GROUP BY subset""")
-def ablation(spark, d):
-    near = scoring.registry_distances(cleaned(spark, d), views.facilities(spark, d))
-    subsets = spark.createDataFrame([("+".join(s), list(s)) for s in SUBSETS], "subset string, s array<string>")
-    rows = near.crossJoin(F.broadcast(subsets))
-    has = lambda x: F.array_contains("s", x)
-    three = ("osm", "wri", "gem")
-    rows = rows.withColumns({"d": F.least(*[F.when(has(x), F.col(f"_d_{x}")) for x in three]), "k": sum((F.coalesce((has(x) & (F.col(f"_d_{x}") <= 3)).cast("int"), F.lit(0)) for x in three), F.lit(0))})
-    return rows.groupBy("subset").agg(F.count_if(F.col("k") >= 1).alias("corroborated"), F.count_if(F.col("k") >= 2).alias("confirmed_twice"), X.half_even(F.median(X.half_even("d", 3)), 3).alias("median_km"))
-
-
 @query("SELECT count(*) AS rows, count(*) FILTER (frp IS NULL) AS no_frp, " + O.he("min(frp)", 6) + " AS least, " + O.he("max(frp)", 6) + " AS most, count(*) FILTER (frp < 0) AS violations FROM det")
 def integrity(spark, d):
     return views.detections(spark, d).agg(F.count("*").alias("rows"), F.count_if(F.col("frp").isNull()).alias("no_frp"), r6(F.min("frp")).alias("least"), r6(F.max("frp")).alias("most"), F.count_if(F.col("frp") < 0).alias("violations"))
@@ -423,6 +370,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.feed(scored(spark, sf_dir), "risk_score").select("ord", "latitude", "longitude", "acq_date", "label", "priority", "risk_score", "evidence_score", "est_temp_k", "facility_name", "contributions")
 
 
+from . import interface  # noqa: E402, F401 (registers its queries)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(Q)
 
