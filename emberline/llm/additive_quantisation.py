@@ -80,7 +80,6 @@ def decode(codes: np.ndarray, books: np.ndarray) -> np.ndarray:
 
 def train(x: np.ndarray, m: int = M, words: int = WORDS, rounds: int = 2) -> np.ndarray:
     """Codebooks fitted to ``x``: residual ones, then all words together by least squares on the beam's codes."""
-    words = min(words, max(1, len(x) // 4))
     books = residual_codebooks(x, m, words)
     for _ in range(rounds):
         codes = encode(x, books)

@@ -16,9 +16,12 @@ document of smaller id, or earlier in the same one) is removed.
    groups that are not yet settled take part. Kasai's order gives the common prefixes
    of neighbours; runs of neighbours with ``length`` bytes in common are one string,
    and all but its earliest place are repeats.
-3. *Merging.* Shards of one hot anchor are merged: their sorted distinct strings are
-   cut by binary search at the same splitters into ranges, and in each range every
-   shard's run is looked up in the others by binary search for an earlier place.
+3. *Merging.* Shards of one hot anchor are merged: their sorted distinct strings, as
+   bytes, are dealt to ranges, and in each range the runs are merged two by
+   two, every string being looked up in the other run by binary search for an earlier place.
+
+Rows come to the second and third step sorted, and are gone through as they come: what is
+held is one anchor's shard, or one range of a hot anchor, never a partition.
 
 Texts are UTF-8 bytes; null counts as empty. Matches never cross documents. Null ids
 come after all others. Rows alike in id and text are one document and give equal
@@ -42,7 +45,7 @@ LENGTH = 100
 K = 40
 CHUNK = 1 << 20
 #: Contexts of one anchor in one shard; hotter anchors are dealt over several shards.
-HOT = 2000
+HOT = 512
 #: Bytes of contexts in one suffix array.
 SHARD = 1 << 20
 NULL_ID = (1 << 63) - 1
@@ -303,42 +306,71 @@ SETTLED = "kind bigint, h bigint, salt bigint, doc bigint, row bigint, a bigint,
 
 
 def _settle(marks: DataFrame, k: int) -> DataFrame:
-    """Rows of one anchor together: spans of what repeats an earlier context whole, and requests for contexts of anchors with several (salt: -1, or the shard of a hot anchor)."""
+    """Spans of what repeats an earlier context whole, and requests for contexts of anchors with several (salt: -1, or the shard of a hot anchor).
+
+    ``marks`` come sorted by anchor, context and place. They are gone through as they come: of an
+    anchor only the heads of its contexts are held, and no more than HOT of those.
+    """
 
     def make():
-        held: list[tuple] = []
+        # the last mark gone by, and the heads of its anchor that wait to be asked for or dropped
+        last: list = [None]
+        heads: list[tuple[int, ...]] = []
+        seen = 0
+
+        def asked(rows, salts):
+            cols = [np.array(c, np.int64) for c in zip(*rows)] if rows else [np.zeros(0, np.int64)] * 5
+            return (np.full(len(rows), ASK), cols[0], np.array(salts, np.int64), cols[1], cols[2], cols[3], cols[4])
+
+        def leave(out):
+            """The anchor is done: its heads are asked for if there are several."""
+            nonlocal seen
+            if len(heads) > 1 or seen > len(heads):
+                out.append(asked(heads, [-1 if seen <= HOT else (seen - len(heads) + i) // HOT for i in range(len(heads))]))
+            heads.clear()
+            seen = 0
 
         def step(x):
-            if x is not None:
-                held.append(tuple(np.array(x[n], np.int64) for n in ("kind", "h", "c", "doc", "row", "p")))
-                return None
-            if not held:
-                return None
-            kind, h, c, doc, row, p = (np.concatenate([t[i] for t in held]) for i in range(6))
-            held.clear()
+            nonlocal seen
+            out: list = []
+            if x is None:
+                leave(out)
+                return _columns("kind h salt doc row a b", *out) if out else None
+            kind, h, c, doc, row, p = (np.array(x[n], np.int64) for n in ("kind", "h", "c", "doc", "row", "p"))
             done = kind == DONE
-            out = [(kind[done], h[done], doc[done] * 0, doc[done], row[done], c[done] >> 32, c[done] & 0xFFFFFFFF)]
+            out.append((kind[done], h[done], doc[done] * 0, doc[done], row[done], c[done] >> 32, c[done] & 0xFFFFFFFF))
             h, c, doc, row, p = h[~done], c[~done], doc[~done], row[~done], p[~done]
+            if not len(h):
+                return _columns("kind h salt doc row a b", *out)
             place, left, right = unpack_place(p)
-            by = np.lexsort((place, row, doc, c, h))
-            h, c, doc, place, row, left, right = (v[by] for v in (h, c, doc, place, row, left, right))
+            before = last[0] if last[0] is not None else (h[0] ^ 1, 0, 0, 0, 0)
+            prior = [np.concatenate(([b], v[:-1])) for b, v in zip(before, (h, c, doc, row, p))]
+            last[0] = (h[-1], c[-1], doc[-1], row[-1], p[-1])
+            new_h = h != prior[0]
+            new = new_h | (c != prior[1])
             # a row that lies in several pieces of the scan gives its marks in each
-            other = np.ones(len(h), bool)
-            other[1:] = np.any([v[1:] != v[:-1] for v in (h, c, doc, row, place)], axis=0)
-            h, c, doc, place, row, left, right = (v[other] for v in (h, c, doc, place, row, left, right))
-            new_h = np.ones(len(h), bool)
-            new_h[1:] = h[1:] != h[:-1]
-            new = new_h.copy()
-            new[1:] |= c[1:] != c[:-1]
+            other = new | (doc != prior[2]) | (row != prior[3]) | (p != prior[4])
             a, b = place - left, place + k + right
-            out.append((np.full((~new).sum(), DONE), h[~new], h[~new] * 0, doc[~new], row[~new], a[~new], b[~new]))
-            # the heads of the classes of each anchor
-            anchor = np.cumsum(new_h)[new] - 1
-            n = np.bincount(anchor)[anchor] if len(anchor) else anchor
-            nth = np.arange(len(anchor)) - np.flatnonzero(new_h[new])[anchor] if len(anchor) else anchor
-            salt = np.where(n > HOT, nth % -(-n // HOT), -1)
-            ask = n > 1
-            out.append(tuple(v[ask] for v in (np.full(len(n), ASK), h[new], salt, doc[new], row[new], a[new], b[new])))
+            again = other & ~new
+            out.append((np.full(again.sum(), DONE), h[again], h[again] * 0, doc[again], row[again], a[again], b[again]))
+            # heads: those of anchors that begin and end here with one context are dropped at once
+            at = np.flatnonzero(new)
+            anchor = np.cumsum(new_h[at])
+            many = np.bincount(anchor, minlength=int(anchor[-1]) + 1 if len(anchor) else 1)
+            first, final = 0, int(anchor[-1]) if len(anchor) else 0  # anchor 0 goes on from what came before, the final one may go on
+            rows = list(zip(h[at].tolist(), doc[at].tolist(), row[at].tolist(), a[at].tolist(), b[at].tolist()))
+            inner = (anchor > first) & (anchor < final) & (many[anchor] > 1) & (many[anchor] <= HOT) if len(anchor) else np.zeros(0, bool)
+            if inner.any():
+                w = at[inner]
+                out.append((np.full(len(w), ASK), h[w], np.full(len(w), -1), doc[w], row[w], a[w], b[w]))
+            for i in np.flatnonzero(~inner & ((anchor == first) | (anchor == final) | (many[anchor] > HOT))) if len(anchor) else ():
+                if new_h[at[i]]:
+                    leave(out)
+                if len(heads) == HOT:
+                    out.append(asked(heads, [(seen - HOT + j) // HOT for j in range(HOT)]))
+                    heads.clear()
+                heads.append(rows[i])
+                seen += 1
             return _columns("kind h salt doc row a b", *out)
 
         return step
@@ -365,7 +397,7 @@ def _contexts(asked: DataFrame) -> DataFrame:
     return map_batches(asked, make, schema)
 
 
-#: Spans, and runs: the strings of one range of a hot anchor's shard, packed (two hashes, document, row, place).
+#: Spans, and runs: the strings of one range of a hot anchor's shard in suffix order, packed (strings, then document, row and place of each).
 FOUND = "h bigint, part bigint, doc bigint, row bigint, a bigint, b bigint, run binary"
 
 
@@ -391,17 +423,12 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
             # any key will do to deal these on
             spans_.append((mix(ids[d].view(U)).view(np.int64), d * 0, ids[d], keys[d], a, b))
             if rows[0][1] >= 0:
-                pre = Prefixes(data)
-                raw = pre.raw(at, at + length)
+                text = np.lib.stride_tricks.sliding_window_view(data, length)[at] if len(at) else np.zeros((0, length), np.uint8)
                 with np.errstate(over="ignore"):
-                    d1 = mix(raw)
-                    d2 = mix(raw ^ mix(pre.raw(at, at + length // 2)))
-                # strings sorted by digest are cut into ranges by binary search
-                by = np.argsort(d1, kind="stable")
-                cuts = np.searchsorted(d1[by], (np.arange(1, RANGES, dtype=U)) * U((1 << 64) // RANGES))
-                packed = np.stack((d1.view(np.int64), d2.view(np.int64), ids[fd], keys[fd], fp))[:, by]
-                ends = [0, *cuts.tolist(), len(by)]
-                runs.extend((rows[0][0], n, packed[:, x:y].tobytes()) for n, (x, y) in enumerate(zip(ends, ends[1:])) if x < y)
+                    part = mix(Prefixes(data).raw(at, at + length)) >> U(64 - RANGE_BITS)  # equal strings meet in one range
+                for n in np.unique(part).tolist():
+                    own = np.flatnonzero(part == U(n))
+                    runs.append((rows[0][0], n, text[own].tobytes() + np.stack((ids[fd[own]], keys[fd[own]], fp[own])).tobytes()))
 
         def step(x):
             nonlocal size
@@ -427,49 +454,84 @@ def _shards(contexts: DataFrame, length: int) -> DataFrame:
     return map_batches(contexts, make, schema_of(FOUND), rows=4096, finish=True)
 
 
-#: Ranges of strings that shards of a hot anchor are merged in.
-RANGES = 64
+#: Ranges of strings that shards of a hot anchor are merged in: 2 to this power.
+RANGE_BITS = 6
+
 
+def merged(runs: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Document, row and place of every string that another of the runs, or the same, holds earlier.
+
+    Runs are sorted; they are merged two by two, each string being looked up in the other run by binary search,
+    and keep the earliest place of a string.
+    """
+    kind = np.dtype((np.void, length))
+    parts, late = [], []
+    for r in runs:
+        n = len(r) // (length + 24)
+        text = np.frombuffer(r, np.uint8, n * length).reshape(n, length)
+        doc, row, place = np.frombuffer(r, np.int64, 3 * n, n * length).reshape(3, n)
+        keys = np.ascontiguousarray(text).view(kind).reshape(n)
+        by = np.argsort(keys, kind="stable")
+        parts.append((keys[by], doc[by], row[by], place[by]))
+    while len(parts) > 1:
+        (ka, *a), (kb, *b) = parts.pop(0), parts.pop(0)
+        at = np.searchsorted(ka, kb)
+        found = at < len(ka)
+        found[found] = ka[at[found]] == kb[found]
+        i, j = at[found], np.flatnonzero(found)
+        # of a string in both the earlier place stays
+        first = np.lexsort((np.concatenate((a[2][i], b[2][j])), np.concatenate((a[1][i], b[1][j])), np.concatenate((a[0][i], b[0][j])))) if len(i) else np.zeros(0, np.int64)
+        rank = np.empty(len(first), np.int64)
+        rank[first] = np.arange(len(first))
+        b_first = rank[len(i) :] < rank[: len(i)]
+        same = (a[0][i] == b[0][j]) & (a[1][i] == b[1][j]) & (a[2][i] == b[2][j])
+        for lost, run, at_ in ((b_first & ~same, a, i), (~b_first & ~same, b, j)):
+            late.append(tuple(v[at_[lost]] for v in run))
+        a = [v.copy() for v in a]
+        for v, w in zip(a, b):
+            v[i[b_first]] = w[j[b_first]]
+        rest = ~found
+        to = at[rest] + np.arange(rest.sum())  # where the others go in
+        size = len(ka) + len(to)
+        own = np.ones(size, bool)
+        own[to] = False
+        out = []
+        for x, y in zip((ka, *a), (kb, *b)):
+            z = np.empty(size, x.dtype)
+            z[own], z[to] = x, y[rest]
+            out.append(z)
+        parts.append(tuple(out))
+    empty = np.zeros(0, np.int64)
+    return tuple(np.concatenate([empty, *[r[k] for r in late]]) for k in range(3))
 
-def _merge_shards(strings: DataFrame, length: int) -> DataFrame:
-    """Strings of all shards of a hot anchor, a range at a time: each is looked up in the merged run by binary search; all but the earliest are spans. Spans pass through."""
+
+def _merge_shards(found: DataFrame, length: int) -> DataFrame:
+    """Runs of all shards of a hot anchor, a range at a time: all but the earliest place of a string are spans. Spans pass through. ``found`` comes sorted by anchor and range."""
 
     def make():
-        held: list[tuple] = []
+        held: list[bytes] = []
+        last: list = [None]
 
         def step(x):
+            out = []
             if x is not None:
-                run = [(h, np.frombuffer(r, np.int64).reshape(5, -1)) for h, r in zip(x["h"], x["run"]) if r is not None]
-                held.extend((np.full(r.shape[1], h), *r) for h, r in run)
                 span = np.array([r is None for r in x["run"]], bool)
-                return _columns("doc row a b", tuple(np.array(x[n], np.int64)[span] for n in ("doc", "row", "a", "b")))
-            if not held:
-                return None
-            h, d1, d2, doc, row, a = (np.concatenate([t[i] for t in held]) for i in range(6))
-            with np.errstate(over="ignore"):
-                key = mix(h.view(U)) ^ d1.view(U)
-                check = d2.view(U)
-            order = np.lexsort((a, row, doc))  # earliest first
-            # one sorted run of all shards' strings; equal keys of unequal strings are told apart by the second hash
-            by = np.lexsort((check, key))
-            run, second = key[by], check[by]
-            new = np.ones(len(run), bool)
-            new[1:] = (run[1:] != run[:-1]) | (second[1:] != second[:-1])
-            run, second = run[new], second[new]
-            at = np.searchsorted(run, key, "left")
-            while (off := np.flatnonzero(second[at] != check)).size:
-                at[off] += 1
-            first = np.full(len(run), len(key))
-            nth = np.empty(len(key), np.int64)
-            nth[order] = np.arange(len(key))
-            np.minimum.at(first, at, nth)
-            head = order[first[at]]
-            again = np.flatnonzero((doc != doc[head]) | (row != row[head]) | (a != a[head]))
-            return _columns("doc row a b", (doc[again], row[again], a[again], a[again] + length))
+                out.append(tuple(np.array(x[n], np.int64)[span] for n in ("doc", "row", "a", "b")))
+            for key, run in zip(zip(x["h"], x["part"]), x["run"]) if x is not None else [(None, b"")]:
+                if run is None:
+                    continue
+                if key != last[0] and held:
+                    doc, row, place = merged(held, length)
+                    out.append((doc, row, place, place + length))
+                    held.clear()
+                last[0] = key
+                if key is not None:
+                    held.append(run)
+            return _columns("doc row a b", *out) if out else None
 
         return step
 
-    return map_batches(strings, make, schema_of("doc bigint, row bigint, a bigint, b bigint"), rows=100_000, finish=True)
+    return map_batches(found, make, schema_of("doc bigint, row bigint, a bigint, b bigint"), rows=4096, finish=True)
 
 
 def documents_of(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -480,12 +542,12 @@ def spans(rows: DataFrame, length: int = LENGTH, k: int = K) -> DataFrame:
     """Repeats (doc, row, a, b), which may overlap. ``rows``: doc, row, text of :func:`documents_of`."""
     if not 0 < length - k < 64:
         raise ValueError("a context may reach at most 63 bytes beyond its anchor")
-    settled = cut(_settle(_first_pass(rows, length, k).repartition("h"), k))
+    settled = cut(_settle(_first_pass(rows, length, k).repartition("h").sortWithinPartitions("h", "c", "doc", "row", "p"), k))
     asks = settled.where(F.col("kind") == ASK).groupBy("doc", "row").agg(F.collect_list(F.struct("h", "salt", "a", "b")).alias("asks"))
     contexts = _contexts(rows.join(asks, ["doc", "row"]).select("doc", "row", "text", "asks").dropDuplicates(["doc", "row"]))
     found = _shards(contexts.repartition("h", "salt").sortWithinPartitions("h", "salt"), length)
-    merged = _merge_shards(found.repartition("h", "part"), length)
-    return settled.where(F.col("kind") == DONE).select("doc", "row", "a", "b").unionByName(merged)
+    across = _merge_shards(found.repartition("h", "part").sortWithinPartitions("h", "part"), length)
+    return settled.where(F.col("kind") == DONE).select("doc", "row", "a", "b").unionByName(across)
 
 
 def removals(df: DataFrame, id_col: str, text_col: str, length: int, k: int) -> DataFrame:

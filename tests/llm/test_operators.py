@@ -68,7 +68,7 @@ def removed(rows, n=100):
     return out
 
 
-@pytest.mark.parametrize("hot,shard", [(2000, 1 << 20), (2, 3000)])
+@pytest.mark.parametrize("hot,shard", [(512, 1 << 20), (2, 3000), (1, 200)])
 def test_repeats_are_those_of_brute_force(spark, monkeypatch, hot, shard):
     monkeypatch.setattr(SD, "HOT", hot)
     monkeypatch.setattr(SD, "SHARD", shard)
@@ -105,6 +105,20 @@ def test_unlike_texts_without_ids_are_told_apart(spark):
         assert sorted((r.doc_id or 0, r.text) for r in SD.remove(df).collect()) == sorted([(5, again), (0, clean), (0, "")])
 
 
+def test_merging_of_runs():
+    for _ in range(60):
+        place = {}
+        runs = []
+        for r in range(RNG.randrange(1, 6)):
+            own = {bytes(RNG.choice(b"a\0c") for _ in range(4)): (RNG.randrange(3), RNG.randrange(2), RNG.randrange(9)) for _ in range(RNG.randrange(1, 20))}
+            for k, v in own.items():
+                place.setdefault(k, []).append(v)
+            runs.append(b"".join(own) + np.array(list(own.values()), np.int64).T.tobytes())
+        got = sorted(zip(*(v.tolist() for v in SD.merged(runs, 4))))
+        want = sorted(v for vs in place.values() for v in sorted(vs)[1:] if v != min(vs))
+        assert set(got) == set(want)
+
+
 def test_suffix_array_and_common_prefixes():
     for _ in range(30):
         n = RNG.randrange(1, 300)
