@@ -114,7 +114,7 @@ def add_probability(scored: DataFrame, fitted: dict, out: str = "ml_probability"
     for i, (model, scale) in enumerate(fitted["models"]):
         rows = scale.transform(chance(model, rows, "oof")).withColumnRenamed("prediction", f"_p{i}").drop("oof")
     mean = sum((F.col(f"_p{i}") for i in range(len(fitted["models"]))), F.lit(0.0)) / len(fitted["models"])
-    return scored.join(rows.select("ord", X.half_even(mean, 4).alias(out)), "ord", "left")
+    return scored.drop(out).join(rows.select("ord", X.half_even(mean, 4).alias(out)), "ord", "left")
 
 
 def save(fitted: dict, path: str) -> None:
@@ -141,7 +141,7 @@ def unsupervised(scored: DataFrame, out: str = "unsupervised_score", trees: int
     local = local_outlier_factor(rows, "ord", "vector", min(20, max(5, n // 10)))
     both = cut(alone.join(local, "ord"))
     ranked = average_rank(average_rank(both, "isolation", "_a"), "lof", "_b")
-    return scored.join(ranked.select("ord", X.half_even((F.col("_a") + F.col("_b")) / 2, 4).alias(out)), "ord", "left")
+    return scored.drop(out).join(ranked.select("ord", X.half_even((F.col("_a") + F.col("_b")) / 2, 4).alias(out)), "ord", "left")
 
 
 def both_scores(trees: int = TREES):
