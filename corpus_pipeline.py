@@ -1,4 +1,11 @@
-"""A corpus pipeline of five operators: quality rules, near-duplicates, repeated passages, secrets, packing."""
+"""A corpus pipeline of five operators: quality rules, near-duplicates, repeated passages, secrets, packing.
+
+Null, empty and blank texts have no words and go with the first stage. Rows of a null id stay, as documents
+of their own, after all others in the order of ids; rows alike in id and text are one document after the second stage, unlike texts
+of one id are documents of their own. Texts of any length are taken whole. Other columns, whatever their
+names, are carried along, but for the last stage, whose rows are pieces. An empty table gives no rows; without
+labels every document that passes the base rules is kept.
+"""
 
 from __future__ import annotations
 
