@@ -127,7 +127,7 @@ def facility_pairs(records: DataFrame, ordinal: str = "ord") -> DataFrame:
 def assign_sites(records: DataFrame, ordinal: str = "ord") -> DataFrame:
     """Records with facility_uid: F and the rank of the component's least record."""
     named = components(facility_pairs(records, ordinal)).select(F.col("node").alias(ordinal), "label")
-    out = records.join(named, ordinal, "left").withColumn("label", F.coalesce("label", ordinal))
+    out = records.drop("facility_uid").join(named, ordinal, "left").withColumn("label", F.coalesce("label", ordinal))
     ranks = before(out.select("label").distinct(), [F.col("label")], "_n").select("label", F.format_string("F%05d", "_n").alias("facility_uid"))
     return out.join(ranks, "label").drop("label")
 

@@ -389,6 +389,29 @@ def legacy_fusion(spark, d):
     return out.select("ord", X.half_even("fusion_score", 6).alias("fusion_score"), "first_label", "corrected_label", "final_label", X.half_even("evidence", 6).alias("evidence"), "evidence_level", r6("risk_v1").alias("risk_v1"), r6("risk_v2").alias("risk_v2"), "tier")
 
 
+BANDS = ((0.0, 1.0), (2.0, 3.0), (4.0, 5.0))
+
+
+@query(f"""SELECT label, count(*) AS n, count(*) FILTER (isinf(dist_to_industrial_km)) AS no_site, count(*) FILTER (facility_name = 'Unnamed industrial feature') AS unnamed, {O.he('min(dist_to_industrial_km)', 3)} AS least_km, {O.he('max(dist_to_industrial_km)', 3)} AS most_km,
+ min(risk_score) AS least_risk, max(risk_score) AS most_risk, count(*) FILTER (corroboration_score > 0 AND dist_to_industrial_km > 1000) AS far_votes, count(*) FILTER (NOT (evidence_score BETWEEN 0 AND 1 AND risk_score BETWEEN 0 AND 1 AND fusion_score BETWEEN 0 AND 1)) AS out_of_range FROM classed GROUP BY label""")
+def score_integrity(spark, d):
+    """Of each class what is missing, its ranges, and rows that must not be."""
+    bad = ~(F.col("evidence_score").between(0, 1) & F.col("risk_score").between(0, 1) & F.col("fusion_score").between(0, 1))
+    return known(spark, d).groupBy("label").agg(
+        F.count("*").alias("n"), F.count_if(F.col("dist_to_industrial_km") == float("inf")).alias("no_site"), F.count_if(F.col("facility_name") == scoring.UNNAMED).alias("unnamed"), F.min("dist_to_industrial_km").alias("least_km"),
+        F.max("dist_to_industrial_km").alias("most_km"), F.min("risk_score").alias("least_risk"), F.max("risk_score").alias("most_risk"), F.count_if((F.col("corroboration_score") > 0) & (F.col("dist_to_industrial_km") > 1000)).alias("far_votes"), F.count_if(bad).alias("out_of_range"),
+    )
+
+
+@query(" UNION ALL ".join(f"SELECT '{a:g}-{b:g} km' AS band, count(*) AS n, arg_min(ord, struct_pack(d := dist_to_industrial_km, o := ord)) AS sample, min(dist_to_industrial_km) AS km FROM classed WHERE evidence_level = 'Low' AND dist_to_industrial_km >= {a} AND dist_to_industrial_km < {b} HAVING count(*) > 0" for a, b in BANDS))
+def banded_samples(spark, d):
+    """Of each band of distance the nearest row whose evidence is low."""
+    km = F.col("dist_to_industrial_km")
+    band = F.coalesce(*[F.when((km >= a) & (km < b), f"{a:g}-{b:g} km") for a, b in BANDS])
+    rows = known(spark, d).where(F.col("evidence_level") == "Low").withColumn("band", band).where("band IS NOT NULL")
+    return rows.groupBy("band").agg(F.count("*").alias("n"), F.min_by("ord", F.struct("dist_to_industrial_km", "ord")).alias("sample"), F.min("dist_to_industrial_km").alias("km"))
+
+
 @query("SELECT 'detections' AS what, count(*) AS n FROM classed UNION ALL SELECT 'facilities', count(*) FROM site UNION ALL SELECT 'columns', 92")
 def api_docs(spark, d):
     rows = [scored(spark, d).agg(F.lit("detections").alias("what"), F.count("*").alias("n")), scoring.sites_of(views.facilities(spark, d)).agg(F.lit("facilities").alias("what"), F.count("*").alias("n"))]
