@@ -445,3 +445,20 @@ def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     first = each.where("first").select("least", "key").alias("f")
     kept = df.withColumn("_key", copy_key(text_col)).alias("d").join(first, F.col(id_col).cast("long").eqNullSafe(F.col("f.least")) & (F.col("_key") == F.col("f.key")), "left_semi")
     return kept.dropDuplicates([id_col, "_key"]).drop("_key")
+
+
+def oracle(threshold: float = SIMILARITY, n: int = WORDS) -> str:
+    """DuckDB SQL that compares every two texts that share a shingle."""
+    return f"""
+WITH RECURSIVE d AS (SELECT DISTINCT doc_id, text FROM documents),
+t AS (SELECT text, min(doc_id) AS least, row_number() OVER () AS c FROM d GROUP BY text),
+w AS (SELECT c, regexp_extract_all(lower(text), '[a-z0-9_\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM t WHERE text IS NOT NULL),
+s AS (SELECT c, sh, count(*) AS n FROM (SELECT c, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: array_to_string(list_slice(w, i, i + {n - 1}), ' ')) ELSE [array_to_string(w, ' ')] END) AS sh FROM w WHERE len(w) > 0) GROUP BY ALL),
+size AS (SELECT c, sum(n) AS size FROM s GROUP BY c),
+links AS (SELECT a, b FROM (SELECT x.c AS a, y.c AS b, sum(least(x.n, y.n)) AS common FROM s x JOIN s y ON x.sh = y.sh AND x.c <> y.c GROUP BY ALL) JOIN size p ON p.c = a JOIN size q ON q.c = b WHERE common >= {threshold} * (p.size + q.size - common)),
+reach AS (SELECT c AS node, c AS root FROM t UNION SELECT l.b, r.root FROM reach r JOIN links l ON l.a = r.node AND r.root < l.b),
+label AS (SELECT node AS c, min(root) AS label FROM reach GROUP BY node),
+class AS (SELECT label, min(least) AS class_id FROM t JOIN label USING (c) GROUP BY label)
+SELECT d.doc_id, class.class_id, (SELECT count(*) FROM links WHERE a = t.c) AS n_links
+FROM d JOIN t ON d.text IS NOT DISTINCT FROM t.text JOIN label USING (c) JOIN class USING (label)
+"""

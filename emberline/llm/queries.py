@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_rules": url_rules.oracle()}
+    return {"op5_url_rules": url_rules.oracle(), "op10_dart_minhash": dart_minhash.oracle()}
