@@ -169,7 +169,7 @@ def scratch(spark) -> str:
 @query(f"SELECT {EXPORT} FROM classed WHERE acq_date >= DATE '2024-01-10' AND risk_score >= 0.15")
 def export_detections_csv(spark, d):
     """Written as packed CSV and read back."""
-    wanted = reports.DetectionQuery.parse({"from": "2024-01-10", "min_score": "0.15"}).apply(scored(spark, d)).select(*EXPORT.split(", "))
+    wanted = reports.DetectionQuery.parse({"from": "2024-01-10", "min_score": "0.15"}).apply(known(spark, d)).select(*EXPORT.split(", "))
     to = scratch(spark)
     files.write_csv(wanted, to)
     return spark.read.schema(wanted.schema).csv(to, header=True)
@@ -178,7 +178,7 @@ def export_detections_csv(spark, d):
 @query("SELECT ord, 'Feature' AS type, 'Point' AS kind, longitude AS lon, latitude AS lat, label, risk_score FROM classed WHERE acq_date >= DATE '2024-01-10' AND risk_score >= 0.15")
 def export_detections_geojson(spark, d):
     """Features as text, and what a reader finds in them: the rows of the CSV export."""
-    rows = reports.DetectionQuery.parse({"from": "2024-01-10", "min_score": "0.15"}).apply(scored(spark, d))
+    rows = reports.DetectionQuery.parse({"from": "2024-01-10", "min_score": "0.15"}).apply(known(spark, d))
     text = reports.geojson(rows, ["label", "risk_score"])
     shape = "struct<type:string,geometry:struct<type:string,coordinates:array<double>>,properties:struct<label:string,risk_score:double>>"
     f = text.select("ord", F.from_json("feature", shape).alias("f"))
@@ -233,7 +233,7 @@ ROUNDED |= dict.fromkeys(("frp_intensity_norm", "night_fraction", "duty_cycle",
 @query("SELECT " + ", ".join(f"{sql} AS {c}" for c, sql in OUTPUT.items()) + " FROM classed")
 def scored_output(spark, d):
     """The published table without its two texts that other queries show (contributions, cluster_id)."""
-    out = scoring.published(scored(spark, d).withColumn("detection_id", X.detection_id()), snapshots.METHOD_VERSION)
+    out = scoring.published(known(spark, d), snapshots.METHOD_VERSION)
     return out.drop("contributions", "cluster_id").withColumns({c: X.half_even(c, n) for c, n in ROUNDED.items()})
 
 
@@ -414,7 +414,7 @@ def banded_samples(spark, d):
 
 @query("SELECT 'detections' AS what, count(*) AS n FROM classed UNION ALL SELECT 'facilities', count(*) FROM site UNION ALL SELECT 'columns', 92")
 def api_docs(spark, d):
-    rows = [scored(spark, d).agg(F.lit("detections").alias("what"), F.count("*").alias("n")), scoring.sites_of(views.facilities(spark, d)).agg(F.lit("facilities").alias("what"), F.count("*").alias("n"))]
+    rows = [known(spark, d).agg(F.lit("detections").alias("what"), F.count("*").alias("n")), scoring.sites_of(views.facilities(spark, d)).agg(F.lit("facilities").alias("what"), F.count("*").alias("n"))]
     return rows[0].unionByName(rows[1]).unionByName(spark.createDataFrame([("columns", len(scoring.OUTPUT))], "what string, n long"))
 
 

@@ -67,7 +67,7 @@ def archive_beats_nrt(spark, d):
 @query("SELECT ord, label, risk_score FROM classed WHERE label IN ('industrial_fire', 'persistent_industrial_source') AND acq_date BETWEEN DATE '2024-01-05' AND DATE '2024-01-20' AND longitude BETWEEN 74.0 AND 77.0 AND latitude BETWEEN 19.0 AND 22.0 AND risk_score >= 0.2 AND (contains('|' || sources_confirming || '|', '|osm|') OR contains('|' || sources_confirming || '|', '|gem|')) AND contains(lower(facility_name), 'e')")
 def api_detections(spark, d):
     q = reports.DetectionQuery.parse({"label": "industrial_fire, persistent_industrial_source", "from": "2024-01-05", "to": "2024-01-20", "bbox": "74,19,77,22", "min_score": "0.2", "min_fusion": "x", "sources": "osm,gem,zzz", "q": "E"})
-    return q.apply(scored(spark, d)).select("ord", "label", "risk_score")
+    return q.apply(interface.known(spark, d)).select("ord", "label", "risk_score")
 
 
 def scored(spark, d, **options):
@@ -222,18 +222,18 @@ EXPLAINED += f" UNION ALL SELECT ord, 5, 'agri_penalty', 'Crop-burning season',
 @query(f"SELECT ord, row_number() OVER (PARTITION BY ord ORDER BY abs(contribution) DESC, i) AS place, key, label, value, weight, contribution, detail FROM ({EXPLAINED})")
 def explanations(spark, d):
     parts = F.posexplode(F.from_json("contributions", f"array<struct<{scoring.PART.replace(', ', ',').replace(' ', ':')}>>")).alias("place", "part")
-    return scored(spark, d).select("ord", parts).select("ord", (F.col("place") + 1).cast("long").alias("place"), "part.*")
+    return interface.known(spark, d).select("ord", parts).select("ord", (F.col("place") + 1).cast("long").alias("place"), "part.*")
 
 
 @query("SELECT ord, CASE WHEN dist_to_industrial_km <= 1 AND confirming_count >= 2 AND agri_season_region IS NULL THEN 1 WHEN dist_to_industrial_km > 10 AND confirming_count = 0 THEN 0 END AS weak_label FROM classed")
 def weak_labels(spark, d):
-    return scoring.weak_labels(scored(spark, d)).select("ord", "weak_label")
+    return scoring.weak_labels(interface.known(spark, d)).select("ord", "weak_label")
 
 
 @query(f"""SELECT {O.he('(sum(CASE WHEN y = 1 THEN r END) - sum(y) * (sum(y) + 1) / 2) / nullif(sum(y) * (count(*) - sum(y)), 0)', 6)} AS auc, count(*) FILTER (s >= 0.5 AND y = 1) AS tp, count(*) FILTER (s >= 0.5 AND y = 0) AS fp, count(*) FILTER (s < 0.5 AND y = 0) AS tn, count(*) FILTER (s < 0.5 AND y = 1) AS fn
 FROM (SELECT y, s, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM (SELECT evidence_score AS s, CASE WHEN dist_to_industrial_km <= 1 AND confirming_count >= 2 AND agri_season_region IS NULL THEN 1 WHEN dist_to_industrial_km > 10 AND confirming_count = 0 THEN 0 END AS y FROM classed) WHERE y IS NOT NULL)""")
 def auc_from_scores(spark, d):
-    return reports.auc(scoring.weak_labels(scored(spark, d)), "evidence_score", "weak_label")
+    return reports.auc(scoring.weak_labels(interface.known(spark, d)), "evidence_score", "weak_label")
 
 
 @query("SELECT acq_date, count(*) FILTER (daynight = 'D') AS \"D\", count(*) FILTER (daynight = 'N') AS \"N\" FROM (SELECT unnest(generate_series(min(acq_date), max(acq_date), INTERVAL 1 DAY))::DATE AS acq_date FROM clean) LEFT JOIN clean USING (acq_date) GROUP BY acq_date")
@@ -269,7 +269,7 @@ def latest_at_site(spark, d):
 
 @query("SELECT facility_uid AS site, arg_max(ord, struct_pack(r := risk_score, o := -ord)) AS lead_ord, max(risk_score) AS risk_score, count(*) AS detections, count(DISTINCT acq_date) AS days FROM classed GROUP BY 1")
 def group_by_site(spark, d):
-    return reports.group_by_site(scored(spark, d))
+    return reports.group_by_site(interface.known(spark, d))
 
 
 @query("SELECT ord, frp FROM clean ORDER BY frp DESC NULLS LAST, ord LIMIT 400")
@@ -306,7 +306,7 @@ def playback_trail(spark, d):
 @query("SELECT count(*) AS total, count(*) FILTER (confirming_count >= 2) AS multi_source, count(*) FILTER (est_temp_k IS NOT NULL) AS retrieved, count(*) FILTER (label = 'industrial_fire') AS industrial, count(*) FILTER (label = 'persistent_industrial_source') AS persistent, count(*) FILTER (label = 'flare_signature') AS flares, count(*) FILTER (label = 'agricultural_burning') AS agricultural, count(*) FILTER (label = 'insufficient_evidence') AS insufficient FROM classed")
 def stats(spark, d):
     is_ = lambda v: F.count_if(F.col("label") == v)
-    return scored(spark, d).agg(F.count("*").alias("total"), F.count_if(F.col("confirming_count") >= 2).alias("multi_source"), F.count_if(F.col("est_temp_k").isNotNull()).alias("retrieved"), is_("industrial_fire").alias("industrial"), is_("persistent_industrial_source").alias("persistent"), is_("flare_signature").alias("flares"), is_("agricultural_burning").alias("agricultural"), is_("insufficient_evidence").alias("insufficient"))
+    return interface.known(spark, d).agg(F.count("*").alias("total"), F.count_if(F.col("confirming_count") >= 2).alias("multi_source"), F.count_if(F.col("est_temp_k").isNotNull()).alias("retrieved"), is_("industrial_fire").alias("industrial"), is_("persistent_industrial_source").alias("persistent"), is_("flare_signature").alias("flares"), is_("agricultural_burning").alias("agricultural"), is_("insufficient_evidence").alias("insufficient"))
 
 
 @query("SELECT s AS source, count(*) AS confirmed FROM (SELECT unnest(string_split(sc, '|')) AS s FROM clean JOIN reg USING (latitude, longitude) WHERE confirming_count > 0) GROUP BY s")
