@@ -87,6 +87,7 @@ class WordBpe:
         self.marks = [s[:2] for s in self.added]
         self.words: dict[str, tuple[bytes, int, str]] = {}
         self.runs: dict[str, tuple[bytes, int, str]] = {}
+        self.silent = False  # whether a run without tokens has been met
 
     def apart(self, a: int, b: int) -> bool:
         """Whether merging leaves ``b`` a token of its own after ``a``: undo merges on both sides, latest first, and look for a merge across the cut that would have come earlier."""
@@ -137,34 +138,37 @@ class WordBpe:
         raise ValueError(path)
 
     def walk(self, words: list[str]) -> dict[str, tuple[int, ...]]:
-        """Encodings of distinct non-empty words (as byte-alphabet strings) by one depth-first walk."""
-        root: dict = {}
-        for w in words:
-            node = root
-            for c in w[:-1]:
-                node = node.get(c) or node.setdefault(c, {})
-            node.setdefault("", []).append(w)
+        """Encodings of distinct non-empty words (as byte-alphabet strings) by one depth-first walk.
+
+        The trie is held as its sorted words: a word's path leaves that of the word before it where
+        their common prefix ends, so going through them in order visits every node once, and only
+        the states along one path are held.
+        """
         out: dict[str, tuple[int, ...]] = {}
         path, last_token = "", self.last_token
         state: list[tuple[int, int]] = [(-1, 0)]
-        stack = [(0, "", root)]
-        while stack:
-            depth, c, node = stack.pop()
-            if depth:
-                del state[depth:]
-                path = path[: depth - 1] + c
-                state.append(last_token(path, state, 0))
-            for c2, child in node.items():
-                if c2:
-                    stack.append((depth + 1, c2, child))
-                    continue
-                for w in child:
-                    t, at = last_token(w, state, 1)
-                    ids = [t]
-                    while at:
-                        t, at = state[at]
-                        ids.append(t)
-                    out[w] = tuple(reversed(ids))
+        for w in sorted(words):
+            stem = w[:-1]
+            depth = 0
+            if stem != path:
+                for a, b in zip(stem, path):
+                    if a != b:
+                        break
+                    depth += 1
+                del state[depth + 1 :]
+                for n in range(depth + 1, len(stem) + 1):
+                    state.append(last_token(stem[:n], state, 0))
+                path = stem
+            t, at = last_token(w, state, 1)
+            if not at:
+                out[w] = (t,)
+                continue
+            ids = [t]
+            while at:
+                t, at = state[at]
+                ids.append(t)
+            ids.reverse()
+            out[w] = tuple(ids)
         return out
 
     def split(self, text: str) -> list[str]:
@@ -195,7 +199,7 @@ class WordBpe:
                 got = [words[w] for w in ws]
                 self.runs[r] = (b"".join([g[0] for g in got]), sum([g[1] for g in got]), " ".join([g[2] for g in got]))
             else:
-                self.runs[r] = (b"", 0, "")
+                self.runs[r], self.silent = (b"", 0, ""), True
 
     def parts(self, text: str) -> list[str]:
         """Runs between white space; special tokens stand alone behind an empty string."""
@@ -215,8 +219,7 @@ class WordBpe:
     def pieces(self, texts: list[str]) -> list[list[tuple[bytes, int, str]]]:
         """Of each text: packed ids, number and shown tokens of each run, in order."""
         cut = [self.parts(t) for t in texts]
-        fresh = {r for runs in cut for r in runs if r not in self.runs}
-        fresh.discard("")
+        fresh = set().union(*cut).difference(self.runs, ("",))
         if len(self.runs) + len(fresh) > self.CACHE:
             fresh = {r for runs in cut for r in runs if r}
         gc.disable()  # what is built here has no cycles, and looking for them costs more than the walk
@@ -235,8 +238,8 @@ class WordBpe:
                         got.append((struct.pack("<I", self.added[r]), 1, r) if special else known[r])
                         special = False
             else:
-                got = [known[r] for r in runs]
-            out.append([p for p in got if p[1]])
+                got = list(map(known.__getitem__, runs))
+            out.append([p for p in got if p[1]] if self.silent else got)
         return out
 
     def encode(self, text: str) -> list[int]:
