@@ -403,12 +403,12 @@ def score_integrity(spark, d):
     )
 
 
-@query(" UNION ALL ".join(f"SELECT '{a:g}-{b:g} km' AS band, count(*) AS n, arg_min(ord, struct_pack(d := dist_to_industrial_km, o := ord)) AS sample, min(dist_to_industrial_km) AS km FROM classed WHERE evidence_level = 'Low' AND dist_to_industrial_km >= {a} AND dist_to_industrial_km < {b} HAVING count(*) > 0" for a, b in BANDS))
+@query(" UNION ALL ".join(f"SELECT '{a:g}-{b:g} km' AS band, count(*) AS n, arg_min(ord, struct_pack(d := dist_to_industrial_km, o := ord)) AS sample, min(dist_to_industrial_km) AS km FROM classed WHERE evidence_score < 0.6 AND dist_to_industrial_km >= {a} AND dist_to_industrial_km < {b} HAVING count(*) > 0" for a, b in BANDS))
 def banded_samples(spark, d):
-    """Of each band of distance the nearest row whose evidence is low."""
+    """Of each band of distance the nearest row whose evidence is under 0.6."""
     km = F.col("dist_to_industrial_km")
     band = F.coalesce(*[F.when((km >= a) & (km < b), f"{a:g}-{b:g} km") for a, b in BANDS])
-    rows = known(spark, d).where(F.col("evidence_level") == "Low").withColumn("band", band).where("band IS NOT NULL")
+    rows = known(spark, d).where(F.col("evidence_score") < 0.6).withColumn("band", band).where("band IS NOT NULL")
     return rows.groupBy("band").agg(F.count("*").alias("n"), F.min_by("ord", F.struct("dist_to_industrial_km", "ord")).alias("sample"), F.min("dist_to_industrial_km").alias("km"))
 
 
