@@ -39,7 +39,7 @@ BANDS = K // ROWS
 #: Members of a bucket whose pairs are listed; larger buckets are checked in blocks.
 LISTED = 8
 #: Members and bytes of text of a block, about.
-BLOCK = 512
+BLOCK = 256
 BLOCK_BYTES = 8 << 20
 #: Texts that share a shingle and are counted pair by pair; more common shingles are counted by matrix products.
 RARE = 16
