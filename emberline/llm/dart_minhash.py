@@ -10,10 +10,10 @@ weighted Jaccard similarity. Where a coordinate got no dart, the threshold is
 doubled. Signatures are cut into bands; texts that agree in a band share a bucket.
 
 Every two texts that share a bucket are checked exactly, and once. Pairs of small
-buckets are listed. Larger buckets are dealt into blocks, and every two blocks meet in
-a group that counts links and gives one edge a linked member, so that no list of pairs
-grows with the square of a bucket. Links are joined to classes by alternating star
-contractions.
+buckets are listed. Members of a larger bucket go, once each, to a fixed number of tasks at most, which
+hold it in blocks, compare their share of the pairs of blocks, and give a row for each linked
+member; rows grow with a bucket, not with its square, and only comparisons with that. Links are joined
+to classes by alternating star contractions.
 
 Exact copies are collapsed before anything else. Words are lower-cased runs of
 letters, digits, underscores and non-ASCII characters; a text of one to four words is
@@ -23,6 +23,10 @@ alike in id and text share one row of the result. Other columns are ignored.
 
 from __future__ import annotations
 
+import pickle
+import tempfile
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +45,10 @@ LISTED = 8
 #: Members and bytes of text of a block, about.
 BLOCK = 256
 BLOCK_BYTES = 8 << 20
+#: Tasks that the pairs of a bucket are dealt over, at most; its members go to each.
+STRIPES = 4
+#: Bytes of blocks that a task holds in memory; the others wait in a temporary file.
+HELD_BYTES = 64 << 20
 #: Texts that share a shingle and are counted pair by pair; more common shingles are counted by matrix products.
 RARE = 16
 #: Parts that the rows of one text or class are dealt over where they are joined.
@@ -213,16 +221,20 @@ def checked(pairs: DataFrame, reps: DataFrame, threshold: float) -> DataFrame:
     return map_batches(both.select("a", "b", "text_a", "text_b"), make, schema_of("a bigint, b bigint"))
 
 
-def overlaps(texts: list[str], left: int) -> tuple[np.ndarray, np.ndarray]:
-    """Common weight of each of the first ``left`` texts with each of the others (all with all if ``left`` is their number), and weight of each text."""
-    n = len(texts)
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text number and hash of each occurrence of a shingle, and weight of each text."""
     owner, h, count = shingles(texts)
-    total = np.bincount(owner, count, n)
+    total = np.bincount(owner, count, len(texts))
     # the nth occurrence of a shingle is an element of its own: common weights are common elements
     owner, h = np.repeat(owner, count), np.repeat(h, count)
     nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
     with np.errstate(over="ignore"):
-        h = mix(h + nth.astype(U) * U(0x9E3779B97F4A7C15))
+        return owner, mix(h + nth.astype(U) * U(0x9E3779B97F4A7C15)), total
+
+
+def overlaps(owner: np.ndarray, h: np.ndarray, total: np.ndarray, left: int) -> np.ndarray:
+    """Common weight of each of the first ``left`` texts with each of the others (all with all if ``left`` is their number), from :func:`elements`."""
+    n = len(total)
     by = np.lexsort((owner, h))
     owner, h = owner[by], h[by]
     column = np.cumsum(np.append(True, h[1:] != h[:-1])[: len(h)]) - 1
@@ -248,7 +260,7 @@ def overlaps(texts: list[str], left: int) -> tuple[np.ndarray, np.ndarray]:
             x = np.zeros((n, 2048), kind)
             x[o[lo:hi], c[lo:hi] - at] = 1
             common += x[rows] @ x[cols].T
-    return common, total
+    return common
 
 
 def apart(bucket: int, bands: np.ndarray, wide: np.ndarray, left: int) -> np.ndarray:
@@ -280,11 +292,12 @@ def needed(bucket: int, bands: np.ndarray, wide: np.ndarray, left: int) -> np.nd
     return used
 
 
-def linked(bucket: int, copies: np.ndarray, bands: np.ndarray, wide: np.ndarray, texts: list[str], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links of one bucket among the pairs of :func:`apart`: the linked members, one member of each one's connected set, and numbers of links."""
-    n = len(copies)
+def linked(bucket: int, bands: np.ndarray, wide: np.ndarray, found: tuple[np.ndarray, np.ndarray, np.ndarray], left: int, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one bucket among the pairs of :func:`apart`: number of links of each member, and one member of its connected set (-1 without links). ``found``: of :func:`elements`."""
+    n = len(bands)
     own = apart(bucket, bands, wide, left)
-    common, total = overlaps(texts, left)
+    owner, h, total = found
+    common = overlaps(owner, h, total, left)
     cols = slice(left % n, n)
     most = total[:left, None] + total[None, cols] - common
     ok = own & (common / np.maximum(most, 1) >= threshold)
@@ -305,8 +318,7 @@ def linked(bucket: int, copies: np.ndarray, bands: np.ndarray, wide: np.ndarray,
             if left < n:
                 near[:left] |= ok[:, new[left:]].any(1)
             new = near & (root < 0)
-    some = np.flatnonzero(degree)
-    return copies[some], copies[root[some]], degree[some]
+    return degree, root
 
 
 def buckets(reps: DataFrame) -> DataFrame:
@@ -330,31 +342,154 @@ def texts_of(copies: DataFrame, wanted: DataFrame, rows: DataFrame) -> DataFrame
     return met.select("w.copy", "r.text").groupBy("copy").agg(F.first("text").alias("text"))
 
 
-GROUPED = "bucket bigint, i int, j int, block int, copy bigint, bands array<bigint>, wide array<boolean>"
-
-
-def by_group(met: DataFrame, names: list[str], schema: str, act) -> DataFrame:
-    """``act(rows, left)`` on each group (bucket, i, j) of ``met``, where ``left`` rows, which come first, are of block i; it gives rows of ``schema``."""
+MEMBER = "bucket bigint, stripe int, block int, blocks int, copy bigint, bands array<bigint>, wide array<boolean>"
+
+
+class Shelf:
+    """Blocks of one group: what goes beyond ``HELD_BYTES`` waits in a temporary file."""
+
+    def __init__(self) -> None:
+        self.blocks: list = []
+        self.bytes = 0
+        self.file = None
+
+    def add(self, block, size: int) -> None:
+        self.bytes += size
+        if self.bytes <= HELD_BYTES:
+            self.blocks.append(block)
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        self.file.seek(0, 2)
+        self.blocks.append(self.file.tell())
+        pickle.dump(block, self.file, pickle.HIGHEST_PROTOCOL)
+
+    def __getitem__(self, i: int):
+        if not isinstance(self.blocks[i], int):
+            return self.blocks[i]
+        self.file.seek(self.blocks[i])
+        return pickle.load(self.file)
+
+    def __len__(self) -> int:
+        return len(self.blocks)
+
+
+class Block:
+    """Members of a bucket that are of one block: their copies, bands, which of these are large buckets, and :func:`elements` of their texts, if they came with them."""
+
+    def __init__(self, members: list[tuple]) -> None:
+        self.number, self.blocks = members[0][2:4]
+        self.copies = np.array([m[4] for m in members], np.int64)
+        self.bands = np.array([m[5] for m in members], np.int64)
+        self.wide = np.array([m[6] for m in members], bool)
+        self.found = elements([m[7] or "" for m in members]) if len(members[0]) > 7 else None
+
+    def bytes(self) -> int:
+        return sum(a.nbytes for a in (self.copies, self.bands, self.wide, *(self.found or ())))
+
+    def met(self, other: Block) -> tuple[np.ndarray, np.ndarray, tuple | None]:
+        """bands, wide and found of the members of both."""
+        if other is self:
+            return self.bands, self.wide, self.found
+        found = None
+        if self.found is not None:
+            found = tuple(np.concatenate(p) for p in zip(self.found, (other.found[0] + len(self.copies), *other.found[1:])))
+        return np.concatenate((self.bands, other.bands)), np.concatenate((self.wide, other.wide)), found
+
+
+def in_stripe(shelf: Shelf, stripe: int, act: Callable[[Block, Block, int, int], None]) -> None:
+    """``act(x, y, i, j)`` on every two blocks (i <= j) that the stripe compares."""
+    numbers = [shelf[i].number for i in range(len(shelf))]
+    for i in range(len(shelf)):
+        x = shelf[i]
+        for j in range(i, len(shelf)):
+            if (numbers[i] + numbers[j]) % min(STRIPES, x.blocks) == stripe:
+                act(x, x if j == i else shelf[j], i, j)
+
+
+def chosen_of(bucket: int, stripe: int, shelf: Shelf):
+    """Members that have a pair to check in the stripe."""
+    used = [np.zeros(0, bool)] * len(shelf)
+
+    def act(x, y, i, j):
+        for k, b in ((i, x), (j, y)):
+            if not len(used[k]):
+                used[k] = np.zeros(len(b.copies), bool)
+        bands, wide, _ = x.met(y)
+        if len(bands) < 2:
+            return
+        u = needed(bucket, bands, wide, len(x.copies))
+        used[i] |= u[: len(x.copies)]
+        if j > i:
+            used[j] |= u[len(x.copies) :]
+
+    in_stripe(shelf, stripe, act)
+    for i, u in enumerate(used):
+        if u.any():
+            b = shelf[i]
+            for m in np.flatnonzero(u):
+                yield bucket, stripe, b.number, b.blocks, int(b.copies[m]), b.bands[m].tolist(), b.wide[m].tolist()
+
+
+def links_of(bucket: int, stripe: int, shelf: Shelf, threshold: float):
+    """Linked members, one member of each one's connected set, and numbers of links."""
+    copies = [shelf[i].copies for i in range(len(shelf))]
+    starts = np.cumsum([0, *map(len, copies)])
+    degree, parent = np.zeros(starts[-1], np.int64), list(range(starts[-1]))
+
+    def top(v):
+        while parent[v] != v:
+            parent[v] = v = parent[parent[v]]
+        return v
+
+    def act(x, y, i, j):
+        bands, wide, found = x.met(y)
+        if len(bands) < 2:
+            return
+        links, root = linked(bucket, bands, wide, found, len(x.copies), threshold)
+        at = starts[i] + np.arange(len(x.copies))
+        if j > i:
+            at = np.concatenate((at, starts[j] + np.arange(len(y.copies))))
+        degree[at] += links
+        for m in np.flatnonzero(links):
+            a, b = top(int(at[m])), top(int(at[root[m]]))
+            parent[max(a, b)] = min(a, b)
+
+    in_stripe(shelf, stripe, act)
+    every = np.concatenate(copies)
+    for m in np.flatnonzero(degree).tolist():
+        yield int(every[m]), int(every[top(m)]), int(degree[m])
+
+
+def by_stripe(members: DataFrame, names: list[str], schema: str, act) -> DataFrame:
+    """``act(bucket, stripe, shelf)`` on the blocks of each stripe of a bucket; it gives rows of ``schema``."""
     out_schema = schema_of(schema)
 
     def make():
         held: list[tuple] = []
+        shelf = Shelf()
 
-        def flush(out):
-            i, j = held[0][1:3]
-            held.sort(key=lambda r: (r[3], r[4]))
-            left = sum(r[3] == i for r in held)
-            if len(held) > 1 and (i == j or 0 < left < len(held)):
-                for r in act(held, left):
-                    for name, v in zip(out_schema.names, r):
-                        out[name].append(v)
+        def close():
+            block = Block(held)
+            shelf.add(block, block.bytes())
             held.clear()
 
+        def flush(out):
+            nonlocal shelf
+            bucket, stripe = held[0][:2]
+            close()
+            for r in act(bucket, stripe, shelf):
+                for name, v in zip(out_schema.names, r):
+                    out[name].append(v)
+            shelf = Shelf()
+
         def step(x):
             out: dict = {n: [] for n in out_schema.names}
             for r in zip(*(x[n] for n in names)) if x is not None else ():
-                if held and r[:3] != held[0][:3]:
+                if held and r[:2] != held[0][:2]:
                     flush(out)
+                elif held and r[2] != held[0][2]:
+                    close()
                 held.append(r)
             if x is None and held:
                 flush(out)
@@ -362,7 +497,7 @@ def by_group(met: DataFrame, names: list[str], schema: str, act) -> DataFrame:
 
         return step
 
-    dealt = met.select(*names).repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    dealt = members.select(*names).repartition("bucket", "stripe").sortWithinPartitions("bucket", "stripe", "block", "copy")
     return map_batches(dealt, make, out_schema, finish=True)
 
 
@@ -376,24 +511,11 @@ def links_in_blocks(each: DataFrame, copies: DataFrame, rows: DataFrame, thresho
     met = wide.join(copies.select("copy", "bands"), "copy")
     met = met.select("copy", "bands", F.transform("bands", lambda b: F.array_contains("wide.bucket", b)).alias("wide"), F.explode("wide").alias("w"))
     met = met.select("copy", "bands", "wide", "w.bucket", "w.blocks", F.pmod(F.xxhash64("copy", "w.bucket"), "w.blocks").cast("int").alias("block"))
-    met = met.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "copy", "bands", "wide"
-    )
-    names = schema_of(GROUPED).names
-
-    def arrays(held):
-        return np.array([r[5] for r in held], np.int64), np.array([r[6] for r in held], bool)
-
-    def choose(held, left):
-        return [r for r, u in zip(held, needed(held[0][0], *arrays(held), left)) if u]
-
-    def link(held, left):
-        got = linked(held[0][0], np.array([r[4] for r in held], np.int64), *arrays(held), [r[7] or "" for r in held], left, threshold)
-        return zip(*(v.tolist() for v in got))
-
-    chosen = cut(by_group(met, names, GROUPED, choose))
+    met = met.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.least(F.lit(STRIPES), "blocks") - 1)))
+    names = schema_of(MEMBER).names
+    chosen = cut(by_stripe(met, names, MEMBER, chosen_of))
     texts = texts_of(copies, chosen.select("copy").distinct(), rows)
-    return by_group(chosen.join(texts, "copy"), [*names, "text"], "a bigint, b bigint, n bigint", link)
+    return by_stripe(chosen.join(texts, "copy"), [*names, "text"], "a bigint, b bigint, n bigint", lambda bucket, stripe, shelf: links_of(bucket, stripe, shelf, threshold))
 
 
 def classed(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
