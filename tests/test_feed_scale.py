@@ -45,3 +45,20 @@ def test_small_statistics_go_to_the_rows(spark):
     plan = D.robust_baseline(df)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan  # four joins sorted the rows before
     assert D.robust_baseline(df).agg(F.count("frp_robust_z")).first()[0] == 300
+
+
+def test_methods_of_the_feed_are_short_enough_to_be_compiled(spark):
+    from emberline.operators import scoring
+
+    rows = [(i, 20 + i % 7 / 100, 75 + i % 5 / 100, i % 31, 300 + i % 60, 285.0 + i % 9, "VIIRS" if i % 3 else "MODIS", "DN"[i % 2], 0.4, float(i % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "ord long, latitude double, longitude double, n int, bt4 double, bt5 double, instrument string, daynight string, scan double, frp double".replace("bt4 double", "k int"))
+    df = df.withColumns({"acq_date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "bt4": F.col("k").cast("double"), "track": F.col("scan")}).drop("n", "k")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = scoring.thermal(df)._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        found = debug.codegenStringSeq(plan)
+        sizes = [found.apply(i)._3().maxMethodCodeSize() for i in range(found.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) <= 8000  # the JVM interprets longer ones, row by row
